@@ -6,25 +6,27 @@ database once, when the module loads, and handed to the JVM as regular expressio
 
 from __future__ import annotations
 
-import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_CHARS = 4
+LAST = 0x1FFFF  # nothing beyond has case, marks on letters, or digits
 SENTENCE_MIN, SENTENCE_MAX = 15, 300
 PROSE_MIN = 15
 
 # Java's Unicode \s leaves out the four separators U+001C..U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def _class_of(predicate) -> str:
     """A regular-expression class body holding every code point that satisfies ``predicate``."""
     ranges: list[list[int]] = []
-    for cp in range(sys.maxunicode + 1):
+    for cp in range(LAST + 1):
         if 0xD800 <= cp <= 0xDFFF or not predicate(chr(cp)):
             continue
         if ranges and ranges[-1][1] == cp - 1:
@@ -51,8 +53,9 @@ def marked_letter_class() -> str:
 
 
 @lru_cache(maxsize=None)
-def digit_class() -> str:
-    return r"\p{Nd}" + _class_of(lambda c: c.isdigit() and unicodedata.category(c) != "Nd")
+def other_digit_class() -> str:
+    """Digits that are not decimal, such as superscripts."""
+    return _class_of(lambda c: c.isdigit() and unicodedata.category(c) != "Nd")
 
 
 @lru_cache(maxsize=None)
@@ -74,7 +77,7 @@ def _strip_table() -> tuple[str, str]:
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """What full case folding changes beyond lower-casing: one-to-one and one-to-many."""
     source, target, many = [], [], []
-    for cp in range(sys.maxunicode + 1):
+    for cp in range(LAST + 1):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
@@ -89,6 +92,11 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(many)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_spaces(x: Column) -> Column:
     """Every run of white space becomes one space; none is left at either end."""
     return F.trim(F.regexp_replace(x, SPACE + "+", " "))
@@ -107,13 +115,17 @@ def normalise_answer(x: Column) -> Column:
 def casefold(x: Column) -> Column:
     """Full Unicode case folding."""
     source, target, many = _fold_tables()
-    lowered = F.translate(F.lower(x), source, target)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
-    unfolded = "[" + "".join(a for a, _ in many) + "]"
-    return F.when(
-        lowered.rlike(unfolded),
-        F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["a"], p["b"])),
-    ).otherwise(lowered)
+    rare = [(a, b) for a, b in many if a != "ß"]
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
+    folded = F.replace(F.translate(F.lower(x), source, target), F.lit("ß"), F.lit("ss"))
+    # Few texts hold one of the other long-folding letters; only those take the longer way.
+    return _once(
+        folded,
+        lambda s: F.when(
+            F.translate(s, "".join(a for a, _ in rare), "") != s,
+            F.aggregate(pairs, s, lambda acc, p: F.replace(acc, p["a"], p["b"])),
+        ).otherwise(s),
+    )
 
 
 def dedup_key(x: Column) -> Column:
@@ -160,19 +172,23 @@ def letter_count(x: Column) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    flat = collapse_spaces(x)
-    spaces = F.char_length(flat) - F.char_length(F.replace(flat, F.lit(" "), F.lit("")))
-    return F.when(F.char_length(flat) == 0, 0).otherwise(spaces + 1).cast("long")
+    return F.char_length(
+        F.regexp_replace(F.regexp_replace(x, NOT_SPACE + "+", "a"), SPACE + "+", "")
+    ).cast("long")
+
+
+def _beyond_ascii(x: Column) -> Column:
+    """What is left for the long classes, which hold no ASCII character."""
+    return F.regexp_replace(x, r"[\x00-\x7f]+", "")
 
 
 def diacritic_ratio(x: Column) -> Column:
-    # Marked letters are all outside ASCII, so the long class only meets the few others.
-    rest = F.regexp_replace(x, r"[\x00-\x7f]+", "")
-    return ratio(_count(rest, marked_letter_class()), letter_count(x))
+    return ratio(_count(_beyond_ascii(x), marked_letter_class()), letter_count(x))
 
 
 def digit_ratio(x: Column) -> Column:
-    return ratio(_count(x, digit_class()), F.char_length(x))
+    other = _count(_beyond_ascii(x), other_digit_class())
+    return ratio(_count(x, r"\p{Nd}") + other, F.char_length(x))
 
 
 def upper_ratio(x: Column) -> Column:

@@ -13,13 +13,14 @@ from lanefold.functions import noise as N
 from lanefold.functions.hashing import key_hash_col
 from lanefold.functions.text import (
     MIN_CHARS,
+    casefold,
     collapse_spaces,
     dedup_key,
     is_blank,
     looks_like_prose,
     sentences,
 )
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal
+from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal, written
 
 OFFSET_STEP = 1_000_003
 
@@ -45,11 +46,11 @@ def row_strings(
         else:
             continue
         values = F.filter(values, lambda s: s.isNotNull())
-        arrays.append(values if fields else F.filter(values, looks_like_prose))
+        arrays.append(values if fields else F.filter(values, lambda s: looks_like_prose(s)))
     if not arrays:
         raise ValueError("no string columns to read")
     strings = F.concat(*arrays)
-    strings = F.flatten(F.transform(strings, sentences)) if split else F.filter(strings, lambda s: ~is_blank(s))
+    strings = F.flatten(F.transform(strings, lambda s: sentences(s))) if split else F.filter(strings, lambda s: ~is_blank(s))
     return df.select(order, F.posexplode(strings).alias("part", "text"))
 
 
@@ -58,22 +59,17 @@ def first_spellings(
 ) -> DataFrame:
     """One row per string, case and spacing aside: the first one in ``order``, normalised.
 
-    Copies are combined on the map side by a digest of their key, so a text that makes up
-    any share of the rows costs one row per task in the shuffle. ``order`` must be unique.
+    One pass, one shuffle: copies are combined on the map side by a digest of their key, so
+    a text that makes up any share of the rows costs one row per task. ``order`` must be unique.
     """
-    order = list(order)
     base = df.where(F.col(text).isNotNull()).withColumn(text, collapse_spaces(F.col(text)))
     base = base.where(F.char_length(text) >= min_chars)
-    if len(order) == 1 and dict(df.dtypes)[order[0]] in ("int", "bigint"):
-        first = F.min(order[0]).alias(order[0])
-    else:
-        first = F.min(F.struct(*order)).alias("_first")
-    winners = base.groupBy(F.sha2(dedup_key(F.col(text)), 256).alias("_key")).agg(first)
-    if "_first" in winners.columns:
-        winners = winners.select("_first.*")
-    else:
-        winners = winners.select(*order)
-    return base.join(winners, order, "left_semi")
+    return _first_of(base, F.sha2(casefold(F.col(text)), 256), order)
+
+
+def _first_of(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(key.alias("_key")).agg(first.alias("_row")).select("_row.*")
 
 
 def append_missing(base: DataFrame, extra: DataFrame, text: str, order: str) -> DataFrame:
@@ -83,10 +79,7 @@ def append_missing(base: DataFrame, extra: DataFrame, text: str, order: str) ->
     ).unionByName(
         extra.select(F.lit(1).alias("source"), F.col(order).alias("ord"), F.col(text).alias("text"))
     )
-    winners = tagged.groupBy(F.sha2("text", 256).alias("_key")).agg(
-        F.min(F.struct("source", "ord")).alias("_first")
-    ).select("_first.*")
-    return tagged.join(winners, ["source", "ord"], "left_semi")
+    return _first_of(tagged, F.sha2("text", 256), ["source", "ord"])
 
 
 def held_out(clean: DataFrame, training: DataFrame, text: str = "text", anchor: str = "text") -> DataFrame:
@@ -122,9 +115,8 @@ def hard_negatives(
     Strings are numbered. Anchor ``i`` takes those at ``i + 1 + (start_i + j * step) mod (N - 1)``
     for j < n: never itself, and never one twice, since the step is coprime to N - 1.
     """
-    numbered = dense_ordinal(
-        clean.select(order, text), [], [order], "idx", single_task_rows
-    )
+    clean = written(clean.select(order, text), "clean")  # numbered, counted and joined below
+    numbered = dense_ordinal(clean, [], [order], "idx", single_task_rows)
     total = clean.count()
     take = min(n, total - 1)
     if take <= 0:
@@ -172,6 +164,7 @@ def contrastive_pairs(
 ) -> DataFrame:
     """(ord, variant, anchor_clean, positive_noisy, mode, hard_negs) from de-duplicated strings."""
     N.cycle(k)
+    clean = written(clean.select(order, text), "anchors")
     negs = negatives_array(
         hard_negatives(
             clean, hard_negatives_per_anchor, seed, text=text, order=order, single_task_rows=single_task_rows

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from lanefold.session import scratch_dir
+from lanefold.session import scratch_dir, scratch_path
 
 # A relation of at most this many rows is safe in one task whatever its skew.
 SINGLE_TASK_ROWS = 2_000_000
@@ -19,6 +19,17 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a table in the shared scratch folder.
+
+    For a relation that is used several times and costly to derive. Its files outlive the
+    executors that wrote them, and later reads still prune columns.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
