@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -59,11 +58,11 @@ def assign_cells(df: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataF
     """``df`` with the id of the nearest centroid of each row in ``cell``; ties to the lower id."""
     shared = df.sparkSession.sparkContext.broadcast(_centroid_pack(centroids, vec))
 
-    @F.pandas_udf("long")
-    def nearest(vectors: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def nearest(vectors: pa.Array) -> pa.Array:
         query = shared.value
-        scores = np.stack(vectors.to_list()).astype(np.float64) @ query.matrix.T
-        return pd.Series(query.ids[np.argmax(np.round(scores, 12), axis=1)])
+        scores = _vectors(vectors, query.matrix.shape[1]) @ query.matrix.T
+        return pa.array(query.ids[np.argmax(np.round(scores, 12), axis=1)])
 
     return df.withColumn("cell", nearest(F.col(vec)))
 
@@ -99,7 +98,7 @@ def probe_search(
             out = hits if out is None else out.unionByName(hits)
         return out
     schema = _hit_schema(index, key, carry)
-    if not rows:
+    if not rows.num_rows:
         return _final_top(index.sparkSession.createDataFrame([], schema), key, k)
     query = pack(rows)
     near = np.round(query.matrix @ cells.matrix.T, 12)

@@ -41,15 +41,25 @@ class QueryPack:
         return len(self.ids)
 
 
-def pack(rows: Sequence, tokens: bool = False) -> QueryPack:
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    if not tokens:
-        return QueryPack(ids, np.array([r[1] for r in rows], dtype=np.float64))
-    counts = np.array([len(r[1]) for r in rows], dtype=np.int64)
-    if len(rows) and counts.min() == 0:
-        raise ValueError("a query without tokens cannot be scored")
-    flat = np.array([v for r in rows for v in r[1]], dtype=np.float64)
-    return QueryPack(ids, flat, np.cumsum(counts) - counts)
+def pack(table: pa.Table, tokens: bool = False) -> QueryPack:
+    """(id, vector) or (id, token vectors) rows as one matrix."""
+    table = table.combine_chunks()
+    ids = np.asarray(table.column(0).cast(pa.int64()))
+    column = table.column(1)
+    vectors = column.chunk(0) if column.num_chunks else pa.array([], type=column.type)
+    starts = None
+    if tokens:
+        counts = np.diff(np.asarray(vectors.offsets))
+        if len(ids) and counts.min() == 0:
+            raise ValueError("a query without tokens cannot be scored")
+        starts = np.cumsum(counts) - counts
+        vectors = vectors.flatten()
+    widths = set(np.diff(np.asarray(vectors.offsets)).tolist())
+    if len(widths) > 1:
+        raise ValueError(f"query vectors of different widths: {sorted(widths)}")
+    dim = widths.pop() if widths else 0
+    flat = np.asarray(vectors.flatten(), dtype=np.float64)
+    return QueryPack(ids, flat.reshape(len(vectors), dim), starts)
 
 
 @dataclass
@@ -172,7 +182,7 @@ def _scan(
         pack = shared.value
         best = Best(k, len(pack))
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(pack):
                 continue
             cells = [batch.column(n) for n in names]
             payload = partial(lambda cells, j: tuple(c[j].as_py() for c in cells), cells)
@@ -214,8 +224,7 @@ def _cells(
     )
 
     def run(key_: tuple, some_docs: pa.Table, some_queries: pa.Table) -> pa.Table:
-        rows = list(zip(some_queries["qid"].to_pylist(), some_queries["qvec"].to_pylist()))
-        query = pack(rows, scorer == "late_interaction")
+        query = pack(some_queries.select(["qid", "qvec"]), scorer == "late_interaction")
         best = Best(k, len(query))
         for batch in some_docs.combine_chunks().to_batches():
             cells = [batch.column(n) for n in names]
@@ -254,20 +263,14 @@ def top_k(
     if where is not None:
         docs = docs.where(where)
     queries = queries.select(F.col("qid").cast("long"), "qvec")
-    rows = collect_bounded(queries, max_broadcast_queries)
     tokens = scorer == "late_interaction"
-    if rows is not None and dim is not None:
-        wrong = [r for r in rows if len(r[1]) != dim]
-        if wrong:
+    few = collect_bounded(queries, max_broadcast_queries)
+    if few is not None:
+        query = pack(few, tokens)
+        if dim is not None and len(query) and query.matrix.shape[1] != dim:
             raise ValueError(
-                f"query dim mismatch for field {vec!r}: expected {dim}, got {len(wrong[0][1])}"
+                f"query dim mismatch for field {vec!r}: expected {dim}, got {query.matrix.shape[1]}"
             )
-    if rows is not None:
-        if not rows:
-            return _final_top(
-                docs.sparkSession.createDataFrame([], _hit_schema(docs, key, carry)), key, k
-            )
-        query = pack(rows, tokens)
         if query.matrix.size <= MAX_BROADCAST_VALUES:
             return _final_top(_scan(docs, query, k, key, carry, vec, scorer), key, k)
     cells = _cells(

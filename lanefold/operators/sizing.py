@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanefold.session import scratch_dir, scratch_path
@@ -13,10 +14,10 @@ from lanefold.session import scratch_dir, scratch_path
 SINGLE_TASK_ROWS = 2_000_000
 
 
-def collect_bounded(df: DataFrame, max_rows: int) -> list[Row] | None:
+def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """All rows when there are at most ``max_rows``; ``None`` when there are more."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

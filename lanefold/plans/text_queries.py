@@ -26,7 +26,7 @@ def strip_sql(x: str) -> str:
 
 
 MARKED = "".join(
-    chr(c) for c in range(0xC0, 0x250) if X.carries_mark(chr(c))
+    chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if X.carries_mark(chr(c))
 )
 LATIN = [chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1]
 
@@ -196,10 +196,10 @@ def _measures_sql(relation: str) -> str:
       len(list_filter(string_split({norm_sql('text')}, ' '), lambda t: length(t) = 1)) AS singles
     FROM {relation} WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"""
 
-_PROFILE_SQL = """count(*) AS n, round_even(avg(c), 2) AS char_len_mean, round_even(quantile_cont(c, 0.5), 2) AS char_len_median,
-    round_even(avg(w), 2) AS word_len_mean, round_even(avg(CASE WHEN letters > 0 THEN marked / letters ELSE 0 END), 4) AS diacritic_ratio_mean,
-    round_even(avg(digits / c), 4) AS digit_ratio_mean, round_even(avg(CASE WHEN letters > 0 THEN uppers / letters ELSE 0 END), 4) AS upper_ratio_mean,
-    round_even(avg(spaces / c), 4) AS space_ratio_mean, round_even(avg(singles / w), 4) AS single_char_token_ratio_mean"""
+_PROFILE_SQL = """count(*) AS n, printf('%.2f', (avg(c))::DOUBLE)::DOUBLE AS char_len_mean, printf('%.2f', (quantile_cont(c, 0.5))::DOUBLE)::DOUBLE AS char_len_median,
+    printf('%.2f', (avg(w))::DOUBLE)::DOUBLE AS word_len_mean, printf('%.4f', (avg(CASE WHEN letters > 0 THEN marked / letters ELSE 0 END))::DOUBLE)::DOUBLE AS diacritic_ratio_mean,
+    printf('%.4f', (avg(digits / c))::DOUBLE)::DOUBLE AS digit_ratio_mean, printf('%.4f', (avg(CASE WHEN letters > 0 THEN uppers / letters ELSE 0 END))::DOUBLE)::DOUBLE AS upper_ratio_mean,
+    printf('%.4f', (avg(spaces / c))::DOUBLE)::DOUBLE AS space_ratio_mean, printf('%.4f', (avg(singles / w))::DOUBLE)::DOUBLE AS single_char_token_ratio_mean"""
 
 
 @query("text_profile_by_lang", f"SELECT lang, {_PROFILE_SQL} FROM ({_measures_sql('documents')}) GROUP BY lang")
@@ -236,10 +236,10 @@ def profile_compare_flags(spark, sf):
 
 @query(
     "query_set_stats",
-    f"""SELECT role, count(*) AS n_strings, round_even(avg(c), 1) AS char_mean, quantile_cont(c, 0.5)::DOUBLE AS char_median,
-        min(c) AS char_min, max(c) AS char_max, round_even(avg(w), 1) AS word_mean, quantile_cont(w, 0.5)::DOUBLE AS word_median,
-        max(w)::BIGINT AS word_max, round_even(avg(CASE WHEN letters > 0 THEN marked / letters ELSE 0 END), 3) AS diacritic_ratio_mean,
-        round_even(avg((marked > 0)::INT), 3) AS share_with_diacritics
+    f"""SELECT role, count(*) AS n_strings, printf('%.1f', (avg(c))::DOUBLE)::DOUBLE AS char_mean, quantile_cont(c, 0.5)::DOUBLE AS char_median,
+        min(c) AS char_min, max(c) AS char_max, printf('%.1f', (avg(w))::DOUBLE)::DOUBLE AS word_mean, quantile_cont(w, 0.5)::DOUBLE AS word_median,
+        max(w)::BIGINT AS word_max, printf('%.3f', (avg(CASE WHEN letters > 0 THEN marked / letters ELSE 0 END))::DOUBLE)::DOUBLE AS diacritic_ratio_mean,
+        printf('%.3f', (avg((marked > 0)::INT))::DOUBLE)::DOUBLE AS share_with_diacritics
       FROM ({_measures_sql('conversations')}) GROUP BY role""",
 )
 def query_set_stats(spark, sf):
