@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanefold.functions.text import once
+
 RUN_ID = r"\A[0-9a-f]{7}-[a-z0-9_-]+-([0-9]{8}T[0-9]{6}Z|DRYRUN)\z"
 
 
@@ -73,15 +75,14 @@ def key_values(pairs: Column) -> Column:
             ),
         ).otherwise(F.raise_error(F.concat(F.lit("expected key=value, got "), p))),
     )
-    last = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))),
-        lambda e: ~F.exists(
-            F.slice(entries, e["i"] + 2, F.size(entries)), lambda later: later["key"] == e["key"]
-        ),
-    )
-    return F.map_from_arrays(
-        F.transform(last, lambda e: e["key"]), F.transform(last, lambda e: e["value"])
-    )
+    def last_wins(found: Column) -> Column:
+        keys = F.transform(found, lambda e: e["key"])
+        kept = F.filter(
+            found, lambda e, i: i == F.size(found) - F.array_position(F.reverse(keys), e["key"])
+        )
+        return F.map_from_entries(kept)
+
+    return once(entries, last_wins)
 
 
 def blank_to_null(x: Column) -> Column:

@@ -92,7 +92,7 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(many)
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -119,7 +119,7 @@ def casefold(x: Column) -> Column:
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
     folded = F.replace(F.translate(F.lower(x), source, target), F.lit("ß"), F.lit("ss"))
     # Few texts hold one of the other long-folding letters; only those take the longer way.
-    return _once(
+    return once(
         folded,
         lambda s: F.when(
             F.translate(s, "".join(a for a, _ in rare), "") != s,
@@ -155,7 +155,7 @@ def looks_like_prose(x: Column) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return F.char_length(strip_spaces(x)) == 0
+    return ~x.rlike(NOT_SPACE)
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -201,7 +201,8 @@ def space_ratio(x: Column) -> Column:
 
 
 def single_char_token_ratio(x: Column) -> Column:
-    singles = F.regexp_count(collapse_spaces(x), F.lit(r"(?<![^ ])[^ ](?![^ ])"))
+    longer_gone = F.regexp_replace(x, NOT_SPACE + "{2,}", "")
+    singles = F.char_length(F.regexp_replace(longer_gone, SPACE + "+", ""))
     return ratio(singles, word_count(x))
 
 

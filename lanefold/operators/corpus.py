@@ -20,7 +20,7 @@ from lanefold.functions.text import (
     looks_like_prose,
     sentences,
 )
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal, written
+from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal, spread, written
 
 OFFSET_STEP = 1_000_003
 
@@ -171,15 +171,13 @@ def contrastive_pairs(
         ),
         order,
     )
-    noisy = clean.select(order, text, F.inline(N.variants(F.col(text), k, seed)))
-    return noisy.join(negs, order, "left").select(
-        order,
-        "variant",
-        F.col(text).alias("anchor_clean"),
-        F.col("noisy").alias("positive_noisy"),
-        "mode",
-        F.coalesce("hard_negs", F.array().cast("array<string>")).alias("hard_negs"),
+    # Negatives are joined to the anchors, not to their many variants.
+    anchors = clean.join(negs, order, "left").withColumn(
+        "hard_negs", F.coalesce("hard_negs", F.array().cast("array<string>"))
     )
+    return spread(anchors).select(
+        order, F.col(text).alias("anchor_clean"), "hard_negs", F.inline(N.variants(F.col(text), k, seed))
+    ).select(order, "variant", "anchor_clean", F.col("noisy").alias("positive_noisy"), "mode", "hard_negs")
 
 
 def union_sources(named: Sequence[tuple[str, object]]) -> tuple[DataFrame | None, list[str], list[str]]:

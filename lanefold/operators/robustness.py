@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanefold.embedding.pseudo import PseudoEmbedder, mean_pool
 from lanefold.functions import noise as N
 from lanefold.operators.search import top_k
+from lanefold.operators.sizing import spread
 
 # The ship gate's target, and the depth at which an answer is of use.
 SHIP_GATE_TARGET = 0.85
@@ -23,7 +24,7 @@ def dense_retriever(encode: Callable[[Column], Column]) -> Retriever:
 
     def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         q = queries.select("qid", encode(F.col("text")).alias("qvec"))
-        d = docs.select("did", encode(F.col("text")).alias("vec"))
+        d = spread(docs).select("did", encode(F.col("text")).alias("vec"))
         return top_k(d, q, k, key="did")
 
     return search
@@ -34,7 +35,7 @@ def late_interaction_retriever(encode_tokens: Callable[[Column], Column]) -> Ret
 
     def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         q = queries.select("qid", encode_tokens(F.col("text")).alias("qvec")).where(F.size("qvec") > 0)
-        d = docs.select("did", encode_tokens(F.col("text")).alias("vec"))
+        d = spread(docs).select("did", encode_tokens(F.col("text")).alias("vec"))
         return top_k(d, q, k, key="did", scorer="late_interaction")
 
     return search

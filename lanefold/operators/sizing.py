@@ -20,6 +20,16 @@ def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     return rows if rows.num_rows <= max_rows else None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many tasks as there are cores.
+
+    For costly per-row work on an input of few splits. A large input has enough of them
+    and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read back from a table in the shared scratch folder.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanefold.functions.identifiers import compose_pk
 from lanefold.functions.vectors import truncate
 from lanefold.operators.cells import group_means
+from lanefold.operators.sizing import spread
 
 LANES = {"a": 64, "b": 32, "c": 32}
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table of texts, over enough tasks for costly work on each."""
+    return spread(table(spark, sf, name))
+
+
 def frames(spark: SparkSession, sf: str, lane: str = "a") -> DataFrame:
     """(vec_id, pk, video_id, frame_id, vec): one lane of the keyframes.
 

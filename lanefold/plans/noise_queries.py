@@ -8,7 +8,7 @@ from lanefold.embedding.pseudo import PseudoEmbedder, mean_pool
 from lanefold.functions import noise as N, vectors as V
 from lanefold.functions.hashing import MODULUS
 from lanefold.operators import corpus as C, profiling as R, robustness as B
-from lanefold.plans.inputs import frames, lane_sql, prototype_sql, prototypes, table
+from lanefold.plans.inputs import frames, lane_sql, prototype_sql, prototypes, table, texts
 from lanefold.plans.registry import query
 from lanefold.plans.text_queries import CLEAN_SQL, _measures_sql, _PROFILE_SQL, clean_documents, nfd_sql
 
@@ -147,7 +147,7 @@ def _register(mode: str) -> None:
 
     @query(f"noise_{mode}", f"SELECT doc_id, md5(text) AS noisy_md5, length(text) AS n FROM ({sql})")
     def run(spark, sf):
-        noisy = table(spark, sf, "documents").select("doc_id", N.noise(F.col("text"), mode, SEED).alias("noisy"))
+        noisy = texts(spark, sf).select("doc_id", N.noise(F.col("text"), mode, SEED).alias("noisy"))
         return noisy.select("doc_id", F.md5("noisy").alias("noisy_md5"), F.char_length("noisy").cast("long").alias("n"))
 
 
@@ -169,7 +169,7 @@ def _all_modes_sql(source: str) -> str:
     + ")",
 )
 def noise_variants(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", F.inline(N.variants(F.col("text"), seed=SEED)))
+    rows = texts(spark, sf, "benchmark").select("item_id", F.inline(N.variants(F.col("text"), seed=SEED)))
     return rows.select(
         F.col("item_id").alias("doc_id"), F.col("variant").cast("long").alias("variant"), "mode", F.md5("noisy").alias("noisy_md5")
     )
@@ -204,14 +204,14 @@ def corpus_pairs(spark, sf):
     + ") GROUP BY mode",
 )
 def noise_profile_by_mode(spark, sf):
-    return R.profile_noise(table(spark, sf, "benchmark"), "text", "item_id", seed=SEED, max_anchors=None)
+    return R.profile_noise(texts(spark, sf, "benchmark"), "text", "item_id", seed=SEED, max_anchors=None)
 
 
 @query("pseudo_embed")
 def pseudo_embed(spark, sf):
     """Unit vectors of all documents, drawn from generators seeded by their text."""
     embedder = PseudoEmbedder()
-    vectors = table(spark, sf, "documents").select("doc_id", embedder.encode_text(F.col("text")).alias("v"))
+    vectors = texts(spark, sf).select("doc_id", embedder.encode_text(F.col("text")).alias("v"))
     return vectors.select(
         "doc_id", F.round(V.norm(F.col("v")), 5).alias("norm"), F.round(F.col("v")[0].cast("double"), 6).alias("first")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanefold.functions import text as X
 from lanefold.operators import corpus as C, profiling as R
-from lanefold.plans.inputs import table
+from lanefold.plans.inputs import table, texts
 from lanefold.plans.registry import query
 
 
@@ -39,7 +39,7 @@ def nfd_sql(x: str) -> str:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _sentences_sql(relation: str, key: str) -> str:
 
 
 def _sentences(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return C.row_strings(table(spark, sf, name).select(key, "text"), key, ["text"], split=True)
+    return C.row_strings(texts(spark, sf, name).select(key, "text"), key, ["text"], split=True)
 
 
 @query("sentence_split", f"SELECT doc_id, part, md5(text) AS sentence_md5, length(text) AS n FROM ({_sentences_sql('documents', 'doc_id')})")
@@ -115,7 +115,7 @@ def prose_filter(spark, sf):
 )
 def row_strings_auto(spark, sf):
     """Columns that read like prose are found row by row."""
-    found = C.row_strings(table(spark, sf, "documents").drop("n_chars"), "doc_id")
+    found = C.row_strings(texts(spark, sf).drop("n_chars"), "doc_id")
     return found.select("doc_id", F.col("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
 
 
@@ -204,12 +204,12 @@ _PROFILE_SQL = """count(*) AS n, printf('%.2f', (avg(c))::DOUBLE)::DOUBLE AS cha
 
 @query("text_profile_by_lang", f"SELECT lang, {_PROFILE_SQL} FROM ({_measures_sql('documents')}) GROUP BY lang")
 def text_profile_by_lang(spark, sf):
-    return R.profile_text(table(spark, sf, "documents"), ["lang"], "text")
+    return R.profile_text(texts(spark, sf, "documents"), ["lang"], "text")
 
 
 @query("text_profile_overall", f"SELECT {_PROFILE_SQL} FROM ({_measures_sql('conversations')})")
 def text_profile_overall(spark, sf):
-    return R.profile_text(table(spark, sf, "conversations"), [], "text")
+    return R.profile_text(texts(spark, sf, "conversations"), [], "text")
 
 
 @query(
@@ -227,8 +227,8 @@ def text_profile_overall(spark, sf):
         ELSE len(flags) || ' flag(s) - see flags[]' END AS verdict FROM f""",
 )
 def profile_compare_flags(spark, sf):
-    anchor = R.profile_text(table(spark, sf, "documents"), [], "text")
-    asked = R.profile_text(table(spark, sf, "benchmark"), [], "text")
+    anchor = R.profile_text(texts(spark, sf, "documents"), [], "text")
+    asked = R.profile_text(texts(spark, sf, "benchmark"), [], "text")
     return R.calibration_flags(anchor, asked, None, None).select(
         F.array_join("flags", "; ").alias("flags"), "verdict"
     )
@@ -243,7 +243,7 @@ def profile_compare_flags(spark, sf):
       FROM ({_measures_sql('conversations')}) GROUP BY role""",
 )
 def query_set_stats(spark, sf):
-    return R.query_set_stats(table(spark, sf, "conversations"), ["role"], "text")
+    return R.query_set_stats(texts(spark, sf, "conversations"), ["role"], "text")
 
 
 @query(
