@@ -219,7 +219,7 @@ def _cells(
     right = queries.select(
         "qid",
         "qvec",
-        F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).cast("long").alias("_d"),
+        F.explode(F.expr(f"sequence(0L, {n_docs - 1}L)")).alias("_d"),
         F.pmod(F.xxhash64("qid"), F.lit(n_queries)).cast("int").alias("_q"),
     )
 
@@ -293,12 +293,16 @@ def filter_sql(expr: str, columns: Sequence[str]) -> str:
     Only comparisons of the given columns with literals, joined by and, or, not and
     parentheses, pass; anything else is an error, so that no foreign text reaches the parser.
     """
-    out, at = [], 0
+    out, at, after_operand = [], 0, False
     while at < len(expr.rstrip()):
         found = _TERM.match(expr, at)
         if not found:
             raise ValueError(f"cannot read filter at {expr[at:]!r}")
         at = found.end()
+        operand = bool(found["num"] or found["str"] or found["name"])
+        if after_operand and (operand or found["op"] in ("(", "[")):
+            raise ValueError(f"cannot read filter at {found.group()!r}")
+        after_operand = operand
         if found["word"]:
             out.append(found["word"].upper())
         elif found["op"]:
