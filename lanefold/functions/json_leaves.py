@@ -12,6 +12,11 @@ MIN_LEAF = 4
 _STRING = r'"((?:[^"\\]++|\\.)*+)"(\s*+:)?+'
 
 
+def is_json(x: Column) -> Column:
+    """Whether ``x`` is one whole JSON value. Parsers alone overlook text after the value."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1, F.lit(False))
+
+
 def string_leaves(json: Column, min_chars: int = MIN_LEAF) -> Column:
     """All string values at any depth, in document order, of at least ``min_chars`` characters.
 
@@ -28,6 +33,5 @@ def string_leaves(json: Column, min_chars: int = MIN_LEAF) -> Column:
             F.get(F.from_json(F.concat(F.lit('["'), s["body"], F.lit('"]')), "array<string>"), F.lit(0)),
         ).otherwise(s["body"]),
     )
-    well_formed = F.try_parse_json(json).isNotNull()
     leaves = F.filter(texts, lambda t: F.char_length(t) >= min_chars)
-    return F.when(well_formed, leaves).otherwise(F.array().cast("array<string>"))
+    return F.when(is_json(json), leaves).otherwise(F.array().cast("array<string>"))

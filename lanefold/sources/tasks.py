@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanefold.functions.json_leaves import is_json
 from lanefold.operators.sizing import dense_ordinal
 from lanefold.schemas import GROUND_TRUTH, TASK_TYPES, TASKS
 
@@ -37,7 +38,7 @@ def _complaint(raw: Column, t: Column) -> Column:
         return f"ground_truth: task_type={task_type} requires ground_truth.{name}"
 
     checks: list[tuple[Column, Column | str]] = [
-        (F.try_parse_json(raw).isNull() | t.isNull(), "invalid JSON"),
+        (~is_json(raw) | t.isNull(), "invalid JSON"),
         (F.json_object_keys(raw).isNull(), "expected an object"),
         (F.size(extra) > 0, F.concat(F.get(extra, F.lit(0)), F.lit(": unknown field"))),
     ]

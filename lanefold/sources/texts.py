@@ -48,15 +48,13 @@ def _place():
     )
 
 
-def _lines(reader, path: str) -> DataFrame:
-    lines = reader.text(path).select(strip_spaces(F.col("value")).alias("text"), *_place())
+def _lines(reader, path: str, whole: bool = False) -> DataFrame:
+    lines = reader.text(path, wholetext=whole).select(strip_spaces(F.col("value")).alias("text"), *_place())
     return lines.where(F.col("text") != "").select("path", "block", "at", F.lit(0).alias("pos"), "text")
 
 
 def _json(reader, path: str, whole: bool) -> DataFrame:
-    if whole:
-        reader = reader.option("wholetext", "true")
-    rows = reader.text(path).select("value", *_place())
+    rows = reader.text(path, wholetext=whole).select("value", *_place())
     return rows.select("path", "block", "at", F.posexplode(string_leaves(F.col("value"))).alias("pos", "text"))
 
 
@@ -117,8 +115,8 @@ def read_queries(spark: SparkSession, path: str, max_queries: int | None = None,
         pattern = "*kis*.txt"
         if files(spark, path, pattern, recursive=True).isEmpty():
             pattern = "*.txt"
-        whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("wholetext", "true")
-        rows = _lines(whole, path)
+        reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+        rows = _lines(reader, path, whole=True)
     if collapse:
         rows = rows.withColumn("text", collapse_spaces(F.col("text")))
     ordered = rows.orderBy("path", "block", "at")

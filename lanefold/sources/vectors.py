@@ -161,7 +161,7 @@ def _row_aligned_ids(spark: SparkSession, root: str, n: int) -> DataFrame | None
     for suffix in (".json", ".jsonl", ".txt"):
         for path in (p for p in listing if p.endswith(suffix)):
             if suffix == ".json":
-                whole = spark.read.option("wholetext", True).text(path)
+                whole = spark.read.text(path, wholetext=True)
                 ids = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("row", "key"))
             else:
                 lines = spark.read.text(path).select(

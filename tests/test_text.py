@@ -283,8 +283,9 @@ def test_json_leaves(spark):
     docs = [
         '{"key long": "value", "n": 12345, "deep": [{"a": "nested"}, ["abcd", "abc"]], "q": "say \\"hi\\" \\u00e9", "e": ""}',
         '"just a string"', "{broken", '{"a": "' + "x" * 200_000 + '"}', '{"a:": "with: colon", "b" : "spaced"}',
+        '{"a": "text"} and more', '"text", "text"', "",
     ]
     got = apply(spark, string_leaves, docs)
     assert got[0] == ["value", "nested", "abcd", 'say "hi" é']
     assert got[1] == ["just a string"] and got[2] == [] and len(got[3][0]) == 200_000
-    assert got[4] == ["with: colon", "spaced"]
+    assert got[4] == ["with: colon", "spaced"] and got[5:] == [[], [], []]
