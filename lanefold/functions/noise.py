@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,7 +307,7 @@ def _checked(mode: str) -> str:
     return mode
 
 
-def _noised(texts: pd.Series, mode: str, keys: list[str]) -> list[str | None]:
+def _noised(texts: list[str | None], mode: str, keys: list[str]) -> list[str | None]:
     """Whole texts, taken in chunks of a bounded number of characters; NULL stays NULL."""
     out: list[str | None] = [None] * len(texts)
     rows: list[int] = []
@@ -321,7 +321,7 @@ def _noised(texts: pd.Series, mode: str, keys: list[str]) -> list[str | None]:
         rows.clear()
         chunk.clear()
 
-    for r, text in enumerate(texts.tolist()):
+    for r, text in enumerate(texts):
         if text is None:
             continue
         rows.append(r)
@@ -341,9 +341,10 @@ def noise(text: Column, mode: str, seed: int = 0, salt: Column | None = None) ->
     if mode == "drop_all":
         return strip_marks(text)
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series(_noised(texts, mode, [f"{seed}|{mode}|{k}" for k in keys]))
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        salted = [f"{seed}|{mode}|{k}" for k in keys.to_pylist()]
+        return pa.array(_noised(texts.to_pylist(), mode, salted), pa.string())
 
     return run(text, text if salt is None else salt)
 
@@ -369,18 +370,23 @@ def variants(text: Column, k: int | None = None, seed: int = 0) -> Column:
         )
     )
 
-    @F.pandas_udf(schema)
-    def run(texts: pd.Series) -> pd.Series:
-        columns = []
+    @F.arrow_udf(schema)
+    def run(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        noisy = []
         for i, mode in enumerate(modes):
             again = i // len(MODES)
             prefix = f"{seed}|{mode}|" if again == 0 else f"{seed}|{mode}#{again}|"
-            columns.append(_noised(texts, mode, [f"{prefix}{t}" for t in texts]))
-        return pd.Series(
+            noisy.append(_noised(texts, mode, [f"{prefix}{t}" for t in texts]))
+        n, k = len(texts), len(modes)
+        flat = pa.StructArray.from_arrays(
             [
-                [{"variant": i, "mode": m, "noisy": c[r]} for i, (m, c) in enumerate(zip(modes, columns))]
-                for r in range(len(texts))
-            ]
+                pa.array(np.tile(np.arange(k, dtype=np.int32), n)),
+                pa.array(modes * n, pa.string()),
+                pa.array([variant for row in zip(*noisy) for variant in row], pa.string()),
+            ],
+            names=["variant", "mode", "noisy"],
         )
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), flat)
 
     return run(text)

@@ -172,10 +172,10 @@ def contrastive_pairs(
         order,
     )
     # Negatives are joined to the anchors, not to their many variants.
-    anchors = clean.join(negs, order, "left").withColumn(
+    anchors = spread(clean).join(negs, order, "left").withColumn(
         "hard_negs", F.coalesce("hard_negs", F.array().cast("array<string>"))
     )
-    return spread(anchors).select(
+    return anchors.select(
         order, F.col(text).alias("anchor_clean"), "hard_negs", F.inline(N.variants(F.col(text), k, seed))
     ).select(order, "variant", "anchor_clean", F.col("noisy").alias("positive_noisy"), "mode", "hard_negs")
 

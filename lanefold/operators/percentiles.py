@@ -12,7 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, running_total
+from lanefold.operators.sizing import SINGLE_TASK_ROWS, collect_bounded, running_total, written
+
+BROADCAST_GROUPS = 100_000
 
 
 def order_statistics(
@@ -23,20 +25,24 @@ def order_statistics(
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Per group: ``n``, the mean, and the value at each 0-based place, given as a function of n."""
+    if not by:
+        whole = order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, places, single_task_rows)
+        return whole.drop("_all")
     by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
-    placed = running_total(
-        counted, by, [value], "_through", F.col("_count"), single_task_rows=single_task_rows
+    counted = written(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count")),
+        "value-counts",
     )
     sizes = counted.groupBy(*by).agg(
         F.sum("_count").alias("n"),
         (F.sum(F.col(value) * F.col("_count")) / F.sum("_count")).alias("mean"),
     )
-    joined = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))
+    placed = running_total(
+        counted, by, [value], "_through", F.col("_count"), single_task_rows=single_task_rows
+    )
+    if collect_bounded(sizes.select(*by), BROADCAST_GROUPS) is not None:
+        sizes = F.broadcast(sizes)  # a hot group's values then stay where they are
+    joined = placed.join(sizes, by)
     picks = []
     for name, place in places.items():
         at = place(F.col("n")).cast("long")

@@ -20,11 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanefold.operators.sizing import collect_bounded
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_VALUES = 16_000_000
-DOCS_PER_CELL = 50_000
+CELL_VALUES = 32_000_000  # numbers held by one cell, per side
 SCORE_DIGITS = 12  # equal vectors tie, whatever block a product was computed in
 SCORE_CELLS = 4_000_000
 
@@ -249,7 +248,7 @@ def top_k(
     scorer: str = "dense",
     dim: int | None = None,
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    docs_per_cell: int = DOCS_PER_CELL,
+    docs_per_cell: int | None = None,
 ) -> DataFrame:
     """Per query the ``k`` best documents: (qid, key, carried columns, score, rank).
 
@@ -264,21 +263,36 @@ def top_k(
         docs = docs.where(where)
     queries = queries.select(F.col("qid").cast("long"), "qvec")
     tokens = scorer == "late_interaction"
-    few = collect_bounded(queries, max_broadcast_queries)
-    if few is not None:
-        query = pack(few, tokens)
+    n_queries, values = _measured(queries, tokens, dim)
+    if n_queries <= max_broadcast_queries and values <= MAX_BROADCAST_VALUES:
+        query = pack(queries.toArrow(), tokens)
         if dim is not None and len(query) and query.matrix.shape[1] != dim:
             raise ValueError(
                 f"query dim mismatch for field {vec!r}: expected {dim}, got {query.matrix.shape[1]}"
             )
-        if query.matrix.size <= MAX_BROADCAST_VALUES:
-            return _final_top(_scan(docs, query, k, key, carry, vec, scorer), key, k)
+        return _final_top(_scan(docs, query, k, key, carry, vec, scorer), key, k)
+    queries_per_cell = min(max_broadcast_queries, CELL_VALUES * n_queries // values)
+    if docs_per_cell is None:
+        n_docs, doc_values = _measured(docs.select(key, F.col(vec).alias("qvec")), tokens, dim)
+        docs_per_cell = CELL_VALUES * n_docs // max(1, doc_values)
     cells = _cells(
-        docs, queries, k, key, carry, vec, scorer, max_broadcast_queries, docs_per_cell
+        docs, queries, k, key, carry, vec, scorer, max(1, queries_per_cell), max(1, docs_per_cell)
     )
     return _final_top(cells, key, k)
 
 
+def _measured(vectors: DataFrame, tokens: bool, dim: int | None) -> tuple[int, int]:
+    """(rows, numbers) of a relation of vectors. Vectors of declared width are only counted."""
+    if dim is not None and not tokens:
+        rows = vectors.count()
+        return rows, rows * dim
+    size = F.size("qvec")
+    if tokens:
+        size = F.aggregate("qvec", F.lit(0), lambda n, t: n + F.size(t))
+    found = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return found[0], found[1]
+
+
 _TERM = re.compile(
     r"""\s*(?:(?P<word>and|or|not|in|like)\b|(?P<op>==|!=|>=|<=|>|<|\(|\)|\[|\]|,)
         |(?P<num>-?\d+(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')

@@ -23,8 +23,9 @@ def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over at least as many tasks as there are cores.
 
-    For costly per-row work on an input of few splits. A large input has enough of them
-    and is left as it is, without a shuffle.
+    For costly per-row work on a file scan of few splits. A large one has enough of them
+    and is left as it is, without a shuffle. Meant for scans: counting the splits of
+    anything that shuffles would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

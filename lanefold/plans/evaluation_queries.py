@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lanefold.functions.scoring import adhoc_score, kis_score, qa_correct
 from lanefold.operators import evaluation as E, percentiles as P, stub
 from lanefold.plans.inputs import table
+from lanefold.plans.noise_queries import uniform_sql
 from lanefold.plans.registry import query
 
 ANSWERS = 20
@@ -360,9 +361,38 @@ def stub_tasks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("stub_backend_answers")
+def _u(stream: int, i: str = "0::BIGINT") -> str:
+    return uniform_sql("h", stream, i)
+
+
+_STUB_SQL = f"""WITH best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= {ANSWERS}),
+    calm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 4),
+    pools AS (SELECT CASE event_type WHEN 'purchase' THEN 'KIS-' ELSE 'AD_HOC-' END || user_id AS task_id, list(event_id::VARCHAR ORDER BY r) AS pool
+        FROM best WHERE event_type IN ('purchase', 'click') GROUP BY 1
+      UNION ALL SELECT 'TRAKE-' || user_id, list(event_id::VARCHAR ORDER BY r) FROM calm GROUP BY 1),
+    t AS (SELECT kind || '-' || user_id AS task_id, kind, NULL::VARCHAR AS qa
+        FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['KIS', 'AD_HOC', 'TRAKE']) AS kind)
+      UNION ALL SELECT 'QA-' || conv_id, 'QA', (string_split(arg_min(text, turn) FILTER (role = 'user'), ' '))[1] FROM conversations GROUP BY conv_id),
+    head AS (SELECT t.*, coalesce(pool, []::VARCHAR[]) AS pool, ('0x' || substr(md5(task_id || '|0'), 1, 7))::BIGINT AS h,
+        ('0x' || substr(sha256(task_id), 1, 8))::BIGINT % 10 + 1 AS show_at FROM t LEFT JOIN pools USING (task_id)),
+    more AS (SELECT *, {_u(1)} < 0.7 AND (len(pool) > 0 OR kind = 'QA') AS shown, greatest(len(pool), 1) AS size FROM head),
+    rows AS (SELECT *, unnest(range(1, CASE WHEN kind = 'QA' THEN 2 ELSE 11 END)) AS rank FROM more),
+    full_rows AS (SELECT *, shown AND len(pool) = 4 AS whole, rank <= len(pool) AS inside,
+        printf('vid_%03d_f%07d_salt%d', floor({_u(4, 'rank')} * 1000)::BIGINT, floor({_u(5, 'rank')} * 10000)::BIGINT, rank) AS fake FROM rows)
+    SELECT task_id, rank, CASE WHEN kind = 'QA' THEN 1.0 ELSE round(greatest(0, 1 - (rank - 1) * CASE WHEN kind = 'TRAKE' AND whole AND inside
+        THEN 0.05::DOUBLE ELSE 0.07::DOUBLE END), 6) END::DOUBLE AS score,
+      CASE kind WHEN 'QA' THEN NULL WHEN 'TRAKE' THEN CASE WHEN whole AND inside THEN pool[rank]
+          WHEN NOT whole AND inside AND {_u(8, 'rank')} < 0.3 THEN pool[(rank - 1 + floor({_u(7)} * size)::BIGINT) % size + 1] ELSE fake END
+        ELSE CASE WHEN shown AND (rank = show_at OR (kind = 'AD_HOC' AND rank IN (6, 7) AND {_u(6, 'rank')} < 0.5))
+          THEN pool[floor({_u(3, 'rank')} * size)::BIGINT + 1] ELSE fake END END AS frame_id,
+      CASE WHEN kind = 'QA' THEN CASE WHEN shown AND coalesce(qa, '') <> '' THEN qa ELSE 'khong biet' END END AS text,
+      round(10 + {_u(2)} * 20, 6) AS elapsed_ms FROM full_rows"""
+
+
+@query("stub_backend_answers", _STUB_SQL)
 def stub_backend_answers(spark, sf):
-    return stub.answer(stub_tasks(spark, sf))
+    answers = stub.answer(stub_tasks(spark, sf))
+    return answers.withColumn("score", F.round("score", 6)).withColumn("elapsed_ms", F.round("elapsed_ms", 6))
 
 
 @query("stub_backend_eval")

@@ -19,6 +19,8 @@ def build_session(app: str = "lanefold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Long texts and token arrays: batches are bounded by size, not only by rows.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
