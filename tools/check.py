@@ -27,6 +27,9 @@ TABLES = (
 ).split()
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)
@@ -80,6 +83,11 @@ def main() -> int:
             continue
         sql_took = time.time() - t0
         a, b = rows_of(df.columns, got), rows_of(want_names, want)
+        want_types = {d[0]: str(d[1]) for d in cur.description}
+        odd = [(c, t, want_types.get(c)) for c, t in df.dtypes if KINDS.get(t) != want_types.get(c)]
+        if odd:
+            print(f"TYPE {name}: {odd}", flush=True)
+            bad.append(name)
         if sorted(df.columns) != sorted(want_names):
             print(f"COLS {name}: {sorted(df.columns)} vs {sorted(want_names)}", flush=True)
             bad.append(name)
