@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanefold.functions.identifiers import blank_to_null, compose_pk, full_url
@@ -12,6 +12,8 @@ from lanefold.functions.vectors import checked_width
 from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal
 from lanefold.schemas import MAX_OD_TAGS, STRING_LIMITS
 
+STRETCH = 4096  # frames of one video brought together when looking for neighbours
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Per key the row with the highest ``order``: last write wins, combined on the map side."""
@@ -122,23 +124,26 @@ def checked_strings(frames: DataFrame) -> DataFrame:
     return frames
 
 
-def neighbours(frames: DataFrame) -> DataFrame:
+def neighbours(frames: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(pk, neighbours): keys of the frames just before and after in the same video, in order.
 
-    A gap in ``frame_idx`` gives no neighbour.
+    A gap in ``frame_idx`` gives no neighbour. Videos are cut into stretches of ``stretch``
+    numbers, whose end frames also go to the stretch beside theirs: one shuffle, and no
+    group larger than a stretch however long the video is.
     """
-    asks = frames.select(
-        F.col("pk").alias("_of"),
-        "video_id",
-        F.explode(F.array(F.col("frame_idx") - 1, F.col("frame_idx") + 1)).alias("frame_idx"),
+    idx, n = F.col("frame_idx"), F.lit(stretch)
+    home = F.floor(idx / n)
+    beside = F.when(idx % n == 0, home - 1).when(idx % n == n - 1, home + 1)
+    placed = frames.select(
+        "pk", "video_id", "frame_idx", home.alias("_home"), F.explode(F.array_compact(F.array(home, beside))).alias("_stretch")
     )
-    found = asks.join(frames.select("video_id", "frame_idx", "pk"), ["video_id", "frame_idx"])
-    lists = found.groupBy("_of").agg(
-        F.sort_array(F.collect_list(F.struct("frame_idx", "pk"))).alias("_n")
-    )  # two entries at most
-    return frames.select("pk").join(
-        lists.select(F.col("_of").alias("pk"), F.col("_n.pk").alias("neighbours")), "pk", "left"
-    ).withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
+    along = Window.partitionBy("video_id", "_stretch").orderBy("frame_idx")
+
+    def near(step: int) -> Column:
+        return F.when(F.lag("frame_idx", step).over(along) == idx - step, F.lag("pk", step).over(along))
+
+    found = placed.select("pk", "_home", "_stretch", F.array_compact(F.array(near(1), near(-1))).alias("neighbours"))
+    return found.where(F.col("_home") == F.col("_stretch")).select("pk", "neighbours")
 
 
 def frame_detail(frames: DataFrame, keys: DataFrame) -> DataFrame:

@@ -110,6 +110,11 @@ def test_upsert_and_enrich(spark):
 def test_neighbours_stop_at_gaps(spark):
     df = spark.createDataFrame([("a", "v", 0), ("b", "v", 1), ("c", "v", 3), ("d", "w", 1)], "pk string, video_id string, frame_idx long")
     assert {r["pk"]: r["neighbours"] for r in K.neighbours(df).collect()} == {"a": ["b"], "b": ["a"], "c": [], "d": []}
+    long = spark.range(50).where("id % 7 <> 3").selectExpr("cast(id as string) pk", "'v' video_id", "id frame_idx").repartition(4)
+    have = {r["frame_idx"] for r in long.collect()}
+    for stretch in (1, 2, 5, 1000):
+        got = {r["pk"]: r["neighbours"] for r in K.neighbours(long, stretch).collect()}
+        assert got == {str(i): [str(j) for j in (i - 1, i + 1) if j in have] for i in have}
 
 
 def test_features_strict_and_not(spark):
