@@ -116,6 +116,12 @@ def hard_negatives(
     for j < n: never itself, and never one twice, since the step is coprime to N - 1.
     """
     clean = written(clean.select(order, text), "clean")  # numbered, counted and joined below
+    return _negatives(clean, n, seed, text, order, single_task_rows)
+
+
+def _negatives(
+    clean: DataFrame, n: int, seed: int, text: str, order: str, single_task_rows: int
+) -> DataFrame:
     numbered = dense_ordinal(clean, [], [order], "idx", single_task_rows)
     total = clean.count()
     take = min(n, total - 1)
@@ -166,10 +172,7 @@ def contrastive_pairs(
     N.cycle(k)
     clean = written(clean.select(order, text), "anchors")
     negs = negatives_array(
-        hard_negatives(
-            clean, hard_negatives_per_anchor, seed, text=text, order=order, single_task_rows=single_task_rows
-        ),
-        order,
+        _negatives(clean, hard_negatives_per_anchor, seed, text, order, single_task_rows), order
     )
     # Negatives are joined to the anchors, not to their many variants.
     anchors = spread(clean).join(negs, order, "left").withColumn(

@@ -40,13 +40,15 @@ def _truth_set(truth: DataFrame) -> DataFrame:
         F.col("ord").between(1, SEQUENCE_LENGTH),
         F.element_at(F.array(*[F.lit(1 << i) for i in range(SEQUENCE_LENGTH)]), F.col("ord").cast("int")),
     ).otherwise(0)
-    return truth.groupBy("task_id", "frame_id").agg(F.bit_or(bit).alias("places"))
+    return truth.groupBy("task_id", "frame_id").agg(
+        F.bit_or(bit).alias("places"), F.count(F.lit(1)).alias("listed")
+    )
 
 
 def with_relevance(submissions: DataFrame, truth: DataFrame) -> DataFrame:
     """Submissions with ``relevant`` and the truth's ``places``."""
     return submissions.join(_truth_set(truth), ["task_id", "frame_id"], "left").withColumn(
-        "relevant", F.col("places").isNotNull()
+        "relevant", F.col("listed").isNotNull()
     )
 
 
@@ -59,12 +61,14 @@ def positions(submissions: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def truth_sizes(truth: DataFrame) -> DataFrame:
-    """Per task: number of distinct correct ids, and of listed ones."""
-    return (
-        truth.groupBy("task_id", "frame_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("task_id")
-        .agg(F.count(F.lit(1)).alias("n_relevant"), F.sum("_n").alias("n_listed"))
+    """Per task: number of distinct correct ids, of listed ones, and the places 1..4 taken, as bits.
+
+    Built on the same aggregate as the relevance join, whose shuffle Spark then reuses.
+    """
+    return _truth_set(truth).groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("n_relevant"),
+        F.sum("listed").alias("n_listed"),
+        F.bit_or("places").alias("places_taken"),
     )
 
 
@@ -106,10 +110,9 @@ def ranking_metrics(submissions: DataFrame, truth: DataFrame, k: int = DEPTH) ->
         )
     )
     joined = whole.join(top, "task_id").join(truth_sizes(truth), "task_id", "full")
-    for name in ("r_at_1", "r_at_5", "r_at_10", "dcg"):
-        joined = joined.withColumn(name, F.coalesce(name, F.lit(0.0)))
-    for name in ("hits", "misses", "in_sequence", "n_submissions", "n_relevant", "n_listed"):
-        joined = joined.withColumn(name, F.coalesce(name, F.lit(0)))
+    zero = {"r_at_1": 0.0, "r_at_5": 0.0, "r_at_10": 0.0, "dcg": 0.0}
+    zero |= dict.fromkeys(("hits", "misses", "in_sequence", "n_submissions", "n_relevant", "n_listed", "places_taken"), 0)
+    joined = joined.withColumns({name: F.coalesce(name, F.lit(v)) for name, v in zero.items()})
     return joined.select(
         "*",
         F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)).alias("mrr"),
@@ -134,7 +137,11 @@ def score_tasks(tasks: DataFrame, submissions: DataFrame, truth: DataFrame | Non
     is_qa = kind == "QA"
     qa_ok = qa_correct(F.col("first_text"), F.col("qa_answer"), F.col("qa_acceptable"))
     qa_value = F.when(qa_ok, 1.0).otherwise(0.0)
-    sequence_ok = (F.col("n_listed") == SEQUENCE_LENGTH) & (F.col("in_sequence") == SEQUENCE_LENGTH)
+    sequence_ok = (
+        (F.col("n_listed") == SEQUENCE_LENGTH)
+        & (F.col("places_taken") == (1 << SEQUENCE_LENGTH) - 1)
+        & (F.col("in_sequence") == SEQUENCE_LENGTH)
+    )
 
     def metric(name: str) -> Column:
         return F.when(is_qa, qa_value).otherwise(F.coalesce(name, zero)).alias(name)

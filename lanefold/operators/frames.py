@@ -133,9 +133,9 @@ def neighbours(frames: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """
     idx, n = F.col("frame_idx"), F.lit(stretch)
     home = F.floor(idx / n)
-    beside = F.when(idx % n == 0, home - 1).when(idx % n == n - 1, home + 1)
+    beside = F.when(idx % n == 0, home - 1), F.when(idx % n == n - 1, home + 1)
     placed = frames.select(
-        "pk", "video_id", "frame_idx", home.alias("_home"), F.explode(F.array_compact(F.array(home, beside))).alias("_stretch")
+        "pk", "video_id", "frame_idx", home.alias("_home"), F.explode(F.array_compact(F.array(home, *beside))).alias("_stretch")
     )
     along = Window.partitionBy("video_id", "_stretch").orderBy("frame_idx")
 

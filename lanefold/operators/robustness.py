@@ -45,10 +45,6 @@ def pooled_retriever(embedder: PseudoEmbedder) -> Retriever:
     return dense_retriever(lambda text: mean_pool(embedder.encode_tokens(text), embedder.dim))
 
 
-def hit_rate(hits: DataFrame, n: int) -> Column:
-    return F.count_if(F.col("hit")) / float(n)
-
-
 def degradation_at_k(
     queries: DataFrame,
     retrieve: Retriever,
@@ -86,26 +82,18 @@ def degradation_at_k(
     found = hits.where(F.col("own") == F.col("did")).groupBy("kind").agg(
         (F.count(F.lit(1)) / float(n)).alias("recall")
     )
-    names = queries.sparkSession.range(1).select(
-        F.posexplode(F.array(*[F.lit(m) for m in kinds])).alias("kind", "mode")
-    )
-    recall = names.join(found, "kind", "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
-    clean = recall.where(F.col("kind") == 0).select(F.col("recall").alias("clean_recall"), F.lit(1).alias("_one"))
-    per_mode = (
-        recall.where(F.col("kind") > 0)
-        .withColumn("_one", F.lit(1))
-        .join(clean, "_one")  # one row
-        .select(
-            "mode",
-            F.when(F.col("clean_recall") > 0, F.col("recall") / F.col("clean_recall"))
-            .otherwise(0.0)
-            .alias("degradation"),
-        )
-    )
-    overall = per_mode.agg(F.avg("degradation").alias("degradation")).select(
-        F.lit("overall").alias("mode"), "degradation"
+    # One row per kind at most: from here on everything is one small row, and the search runs once.
+    rates = found.agg(F.map_from_entries(F.collect_list(F.struct("kind", "recall"))).alias("m"))
+
+    def rate(kind: int) -> Column:
+        return F.coalesce(F.try_element_at("m", F.lit(kind).cast("long")), F.lit(0.0))
+
+    kept = [F.when(rate(0) > 0, rate(i) / rate(0)).otherwise(0.0) for i in range(1, len(kinds))]
+    rows = [F.struct(F.lit(m).alias("mode"), d.alias("degradation")) for m, d in zip(modes, kept)]
+    mean = sum(kept[1:], kept[0]) / float(len(kept))
+    return rates.select(
+        F.inline(F.array(*rows, F.struct(F.lit("overall").alias("mode"), mean.alias("degradation"))))
     )
-    return per_mode.unionByName(overall)
 
 
 def ship_gate(

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanefold.operators.sizing import collect_bounded, written
+
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_VALUES = 16_000_000
@@ -263,9 +265,18 @@ def top_k(
         docs = docs.where(where)
     queries = queries.select(F.col("qid").cast("long"), "qvec")
     tokens = scorer == "late_interaction"
-    n_queries, values = _measured(queries, tokens, dim)
-    if n_queries <= max_broadcast_queries and values <= MAX_BROADCAST_VALUES:
-        query = pack(queries.toArrow(), tokens)
+    if dim is not None and not tokens:
+        # the width is known, so a bound on rows is a bound on size: one job
+        bound = min(max_broadcast_queries, MAX_BROADCAST_VALUES // dim)
+        few = collect_bounded(queries, bound)
+        n_queries, values = (few.num_rows, 0) if few is not None else _measured(queries, tokens, dim)
+    else:
+        queries = written(queries, "queries")  # encoded once, then measured and read
+        n_queries, values = _measured(queries, tokens, dim)
+        fits = n_queries <= max_broadcast_queries and values <= MAX_BROADCAST_VALUES
+        few = queries.toArrow() if fits else None
+    if few is not None:
+        query = pack(few, tokens)
         if dim is not None and len(query) and query.matrix.shape[1] != dim:
             raise ValueError(
                 f"query dim mismatch for field {vec!r}: expected {dim}, got {query.matrix.shape[1]}"

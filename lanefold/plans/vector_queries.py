@@ -61,7 +61,9 @@ def vector_topk_exact(spark, sf):
 def vector_topk_filtered(spark, sf):
     docs = frames(spark, sf, "a")
     where = search.filter_sql('video_id == "L3" or (video_id != "L7" and label >= 5)', docs.columns)
-    hits = search.top_k(docs, prototypes(spark, sf), TOP, carry=("video_id", "frame_id"), where=where)
+    hits = search.top_k(
+        docs, prototypes(spark, sf), TOP, carry=("video_id", "frame_id"), where=where, dim=LANES["a"]
+    )
     return _shown(hits)
 
 
@@ -74,7 +76,7 @@ def vector_topk_filtered(spark, sf):
 def vector_self_neighbours(spark, sf):
     docs = frames(spark, sf, "a")
     asked = docs.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec"))
-    hits = search.top_k(docs, asked, 3)
+    hits = search.top_k(docs, asked, 3, dim=LANES["a"])
     return hits.select("qid", "pk", F.round("score", 6).alias("score"), "rank")
 
 
@@ -468,7 +470,7 @@ def ann_topk(spark, sf):
         (SELECT count(*) FROM a WHERE a.qid = cut.qid AND a.score >= tau - 1e-5) / {TOP}.0::DOUBLE AS recall_score FROM cut""",
 )
 def ann_recall_vs_exact(spark, sf):
-    exact = search.top_k(frames(spark, sf), _asked(spark, sf), TOP)
+    exact = search.top_k(frames(spark, sf), _asked(spark, sf), TOP, dim=LANES["a"])
     return cells.recall_against_exact(_approximate(spark, sf), exact, TOP)
 
 
