@@ -65,6 +65,7 @@ def degradation_at_k(
     if n == 0:
         raise ValueError("no queries")
     kinds = ["clean", *modes]
+    queries = spread(queries)
     noisy = queries.select("qid", "text", F.inline(N.variants(F.col("text"), seed=seed))).where(
         F.col("mode").isin(list(modes))
     )
