@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,13 +103,13 @@ def ship_gate(
 ) -> DataFrame:
     """One row: overall degradations and whether the candidate reaches the target and beats both."""
 
-    def overall(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col("mode") == "overall").select(
-            F.col("degradation").alias(name), F.lit(1).alias("_one")
-        )
-
-    joined = overall(candidate, "overall").join(overall(token_baseline, "baseline_maxsim"), "_one").join(
-        overall(dense_baseline, "baseline_dense"), "_one"
+    named = {"overall": candidate, "baseline_maxsim": token_baseline, "baseline_dense": dense_baseline}
+    rows = [
+        df.where(F.col("mode") == "overall").select(F.lit(name).alias("name"), "degradation")
+        for name, df in named.items()
+    ]
+    joined = reduce(DataFrame.unionByName, rows).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("degradation"))).alias(name) for name in named]
     )
     c = F.col("overall")
     passes = [c >= target, c > F.col("baseline_maxsim"), c > F.col("baseline_dense")]

@@ -474,3 +474,13 @@ def test_samples_and_shards(spark):
     assert R.shard_of(df, ["id"], 3, 10).where("shard <> id % 3").count() == 0
     common = spark.createDataFrame([("b", 0), ("a", 1), ("a", 2), ("b", 3), ("c", 4)], "x string, i int")
     assert [r["x"] for r in R.most_common(common, "x", 2, "i").collect()] == ["b", "a"]
+
+
+def test_ship_gate(spark):
+    def scores(overall):
+        return spark.createDataFrame([("drop_all", 0.1), ("overall", overall)], "mode string, degradation double")
+
+    row = B.ship_gate(scores(0.9), scores(0.8), scores(0.7)).first()
+    assert row["passes_ship_gate"] and row["overall"] == 0.9 and row["baseline_dense"] == 0.7
+    assert not B.ship_gate(scores(0.9), scores(0.9), scores(0.7)).first()["beats_maxsim"]
+    assert not B.ship_gate(scores(0.84), scores(0.1), scores(0.1)).first()["passes_absolute"]
