@@ -266,7 +266,7 @@ def top_k(
     queries = queries.select(F.col("qid").cast("long"), "qvec")
     tokens = scorer == "late_interaction"
     if dim is not None and not tokens:
-        # the width is known, so a bound on rows is a bound on size: one job
+        # the width is known, so a bound on rows is a bound on size
         bound = min(max_broadcast_queries, MAX_BROADCAST_VALUES // dim)
         few = collect_bounded(queries, bound)
         n_queries, values = (few.num_rows, 0) if few is not None else _measured(queries, tokens, dim)

@@ -15,9 +15,11 @@ SINGLE_TASK_ROWS = 2_000_000
 
 
 def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """All rows when there are at most ``max_rows``; ``None`` when there are more."""
-    rows = df.limit(max_rows + 1).toArrow()
-    return rows if rows.num_rows <= max_rows else None
+    """All rows when there are at most ``max_rows``; ``None`` when there are more.
+
+    Counted first: a limit would send that many rows of every partition to one task.
+    """
+    return df.toArrow() if df.count() <= max_rows else None
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def running_total(
     """
     keys, order = list(keys), list(order)
     amount = F.lit(1).cast("long") if weight is None else weight
-    if df.limit(single_task_rows + 1).count() <= single_task_rows:
+    if df.count() <= single_task_rows:
         spec = Window.partitionBy(*keys).orderBy(*order)
         if weight is None:
             return df.withColumn(out, F.row_number().over(spec).cast("long"))

@@ -157,7 +157,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def _row_aligned_ids(spark: SparkSession, root: str, n: int) -> DataFrame | None:
     """(row, key) from the first id list of length ``n``: json, then jsonl, then txt."""
-    listing = [r["path"] for r in files(spark, root, "*.{json,jsonl,txt}").orderBy("path").limit(1000).collect()]
+    listing = [r["path"] for r in files(spark, root, "*.{json,jsonl,txt}").orderBy("path").toLocalIterator()]
     for suffix in (".json", ".jsonl", ".txt"):
         for path in (p for p in listing if p.endswith(suffix)):
             if suffix == ".json":
