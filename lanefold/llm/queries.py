@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanefold.llm import bpe, packing
+from lanefold.llm import bpe, langid, packing
 from lanefold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,10 +15,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op10_bpe_tree_concatenation)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_ppm_language, op10_bpe_tree_concatenation)}
 SQL: dict[str, str] = {}
