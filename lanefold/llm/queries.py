@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanefold.llm import bpe, langid, packing
+from lanefold.llm import bpe, langid, packing, rules
 from lanefold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_ppm_language, op10_bpe_tree_concatenation)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_rule_ledger, op9_ppm_language, op10_bpe_tree_concatenation)}
+SQL = {"op7_rule_ledger": rules.JUDGE_SQL}
