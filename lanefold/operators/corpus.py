@@ -20,7 +20,7 @@ from lanefold.functions.text import (
     looks_like_prose,
     sentences,
 )
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal, spread, written
+from lanefold.operators.sizing import dense_ordinal, spread, written
 
 OFFSET_STEP = 1_000_003
 
@@ -107,8 +107,7 @@ def hard_negatives(
     seed: int = 0,
     *,
     text: str = "text",
-    order: str = "ord",
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    order: str = "ord"
 ) -> DataFrame:
     """(ord, slot, negative): up to ``n`` distinct other strings per anchor.
 
@@ -116,13 +115,13 @@ def hard_negatives(
     for j < n: never itself, and never one twice, since the step is coprime to N - 1.
     """
     clean = written(clean.select(order, text), "clean")  # numbered, counted and joined below
-    return _negatives(clean, n, seed, text, order, single_task_rows)
+    return _negatives(clean, n, seed, text, order)
 
 
 def _negatives(
-    clean: DataFrame, n: int, seed: int, text: str, order: str, single_task_rows: int
+    clean: DataFrame, n: int, seed: int, text: str, order: str
 ) -> DataFrame:
-    numbered = dense_ordinal(clean, [], [order], "idx", single_task_rows)
+    numbered = dense_ordinal(clean, [], [order], "idx")
     total = clean.count()
     take = min(n, total - 1)
     if take <= 0:
@@ -165,14 +164,13 @@ def contrastive_pairs(
     hard_negatives_per_anchor: int = 7,
     seed: int = 0,
     text: str = "text",
-    order: str = "ord",
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    order: str = "ord"
 ) -> DataFrame:
     """(ord, variant, anchor_clean, positive_noisy, mode, hard_negs) from de-duplicated strings."""
     N.cycle(k)
     clean = written(clean.select(order, text), "anchors")
     negs = negatives_array(
-        _negatives(clean, hard_negatives_per_anchor, seed, text, order, single_task_rows), order
+        _negatives(clean, hard_negatives_per_anchor, seed, text, order), order
     )
     # Negatives are joined to the anchors, not to their many variants.
     anchors = spread(clean).join(negs, order, "left").withColumn(

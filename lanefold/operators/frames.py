@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanefold.functions.identifiers import blank_to_null, compose_pk, full_url
 from lanefold.functions.vectors import checked_width
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, dense_ordinal
+from lanefold.operators.sizing import dense_ordinal
 from lanefold.schemas import MAX_OD_TAGS, STRING_LIMITS
 
 STRETCH = 4096  # frames of one video brought together when looking for neighbours
@@ -43,10 +43,10 @@ def lane_presence(vectors: DataFrame, lanes: Sequence[str]) -> DataFrame:
 
 
 def number_rows(
-    vectors: DataFrame, order: Sequence[str], single_task_rows: int = SINGLE_TASK_ROWS
+    vectors: DataFrame, order: Sequence[str]
 ) -> DataFrame:
     """``row``: 0-based place of each vector within its lane and video."""
-    return dense_ordinal(vectors, ["lane", "video_id"], order, "row", single_task_rows)
+    return dense_ordinal(vectors, ["lane", "video_id"], order, "row")
 
 
 def align_lanes(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:

@@ -12,21 +12,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.operators.sizing import SINGLE_TASK_ROWS, collect_bounded, running_total, written
-
-BROADCAST_GROUPS = 100_000
+from lanefold.operators.sizing import running_total, written
 
 
 def order_statistics(
     df: DataFrame,
     by: Sequence[str],
     value: str,
-    places: dict[str, Callable[[Column], Column]],
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    places: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """Per group: ``n``, the mean, and the value at each 0-based place, given as a function of n."""
     if not by:
-        whole = order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, places, single_task_rows)
+        whole = order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, places)
         return whole.drop("_all")
     by = list(by)
     counted = written(
@@ -38,11 +35,9 @@ def order_statistics(
         (F.sum(F.col(value) * F.col("_count")) / F.sum("_count")).alias("mean"),
     )
     placed = running_total(
-        counted, by, [value], "_through", F.col("_count"), single_task_rows=single_task_rows
+        counted, by, [value], "_through", F.col("_count")
     )
-    if collect_bounded(sizes.select(*by), BROADCAST_GROUPS) is not None:
-        sizes = F.broadcast(sizes)  # a hot group's values then stay where they are
-    joined = placed.join(sizes, by)
+    joined = placed.join(sizes, by)  # a hot group's values are split by the skew join
     picks = []
     for name, place in places.items():
         at = place(F.col("n")).cast("long")
@@ -59,7 +54,7 @@ def _interpolation(p: float) -> dict[str, Callable[[Column], Column]]:
 
 
 def latency_stats(
-    df: DataFrame, by: Sequence[str], value: str, single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, by: Sequence[str], value: str
 ) -> DataFrame:
     """Per group: n, mean and linearly interpolated p50, p95, p99. All zero for no values at all."""
     targets = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -68,7 +63,7 @@ def latency_stats(
         for name, p in targets.items()
         for side, place in _interpolation(p).items()
     }
-    stats = order_statistics(df, by, value, places, single_task_rows)
+    stats = order_statistics(df, by, value, places)
     columns = []
     for name, p in targets.items():
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
@@ -82,7 +77,7 @@ def latency_stats(
 
 
 def upper_median_and_p95(
-    df: DataFrame, by: Sequence[str], value: str, single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, by: Sequence[str], value: str
 ) -> DataFrame:
     """Nearest rank: p50 at place n // 2, p95 at round(0.95 (n - 1)), halves to even."""
     return order_statistics(
@@ -93,12 +88,11 @@ def upper_median_and_p95(
             "p50_ms": lambda n: F.floor(n / 2),
             "p95_ms": lambda n: F.least(n - 1, F.bround((n - 1) * F.lit(0.95), 0)),
         },
-        single_task_rows,
     )
 
 
 def true_median_and_p95(
-    df: DataFrame, by: Sequence[str], value: str, single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, by: Sequence[str], value: str
 ) -> DataFrame:
     """Median as the mean of the middle values; p95 at round(0.95 n) - 1, halves to even."""
     stats = order_statistics(
@@ -110,14 +104,13 @@ def true_median_and_p95(
             "_hi": lambda n: F.floor(n / 2),
             "p95_ms": lambda n: F.greatest(F.lit(0), F.bround(n * F.lit(0.95), 0) - 1),
         },
-        single_task_rows,
     )
     return stats.withColumn("p50_ms", (F.col("_lo") + F.col("_hi")) / 2.0).drop("_lo", "_hi")
 
 
 def medians(
-    df: DataFrame, by: Sequence[str], value: str, single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, by: Sequence[str], value: str
 ) -> DataFrame:
     """Per group the median, as (by..., median)."""
-    stats = true_median_and_p95(df, by, value, single_task_rows)
+    stats = true_median_and_p95(df, by, value)
     return stats.select(*by, F.col("p50_ms").alias("median"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanefold.session import scratch_dir, scratch_path
-
-# A relation of at most this many rows is safe in one task whatever its skew.
-SINGLE_TASK_ROWS = 2_000_000
-
+from lanefold.session import scratch_path
 
 def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """All rows when there are at most ``max_rows``; ``None`` when there are more.
@@ -45,63 +43,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    weight: Column | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, weight: Column | None = None
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (1 by default) per ``keys`` in ``order``.
 
-    ``order`` must be unique within a key. A small relation takes a plain window. A large
-    one is range-partitioned on keys and order, so that a hot key spreads over many tasks:
-    each range gets its own running sum, and the sums of the ranges before it are added.
-    The only per-key window left is over at most one row per range.
+    ``order`` must be unique within a key. Rows are range-partitioned on keys and order, so
+    that a hot key spreads over many tasks: each range gets its own running sum, and the sums of
+    the ranges before it are added. The only per-key window left is over at most one row per
+    range. Only keys, order and weight go that way; what else a row holds is joined afterwards.
     """
     keys, order = list(keys), list(order)
     amount = F.lit(1).cast("long") if weight is None else weight
-    if df.count() <= single_task_rows:
-        spec = Window.partitionBy(*keys).orderBy(*order)
-        if weight is None:
-            return df.withColumn(out, F.row_number().over(spec).cast("long"))
-        return df.withColumn(
-            out, F.sum(amount).over(spec.rowsBetween(Window.unboundedPreceding, 0))
-        )
-
-    scratch_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-        .withColumn("_w", amount)
-        .checkpoint()  # fixes the range of each row, also when an executor is lost
+    names = list(dict.fromkeys([*keys, *order]))
+    ranged = written(
+        df.select(*names, amount.alias("_w")).repartitionByRange(*names).withColumn("_range", F.spark_partition_id()),
+        "ranges",
     )
     local = Window.partitionBy("_range", *keys).orderBy(*order)
     totals = ranged.groupBy("_range", *keys).agg(F.sum("_w").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range",
+        F.col("_range").alias("_of_range"),
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"),
     )
     summed = ranged.withColumn(
-        out, F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, 0))
+        "_sum", F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, 0))
     )
-    on = summed["_range"] == offsets["_range"]
+    on = summed["_range"] == offsets["_of_range"]
     for k in keys:
         on = on & summed[k].eqNullSafe(offsets[f"_k_{k}"])
-    return summed.join(offsets, on, "left").select(
-        *df.columns, (F.col(out) + F.col("_offset")).alias(out)
-    )
+    placed = summed.join(offsets, on).select(*names, (F.col("_sum") + F.col("_offset")).alias(out))
+    rest = [c for c in df.columns if c not in names and c != out]
+    if not rest:
+        return placed
+    mine = placed.select(*[F.col(c).alias(f"_p_{c}") for c in names], out)
+    on = reduce(and_, [df[c].eqNullSafe(mine[f"_p_{c}"]) for c in names])
+    return df.drop(out).join(mine, on).select(*[c for c in df.columns if c != out], out)
 
 
-def dense_ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def dense_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """0-based position per ``keys`` in ``order``."""
-    ranked = running_total(df, keys, order, out, single_task_rows=single_task_rows)
-    return ranked.withColumn(out, F.col(out) - 1)
+    return running_total(df, keys, order, out).withColumn(out, F.col(out) - 1)

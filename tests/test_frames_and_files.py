@@ -26,27 +26,25 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, i long, v double").repartition(6)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 10])
-def test_running_total(skewed, limit):
-    got = sizing.running_total(skewed, ["k"], ["i"], "n", single_task_rows=limit).collect()
+def test_running_total(skewed):
+    got = sizing.running_total(skewed, ["k"], ["i"], "n").collect()
     seen = {}
     for r in sorted(got, key=lambda r: r["i"]):
         seen[r["k"]] = seen.get(r["k"], 0) + 1
         assert r["n"] == seen[r["k"]]
-    whole = sizing.running_total(skewed, [], ["i"], "s", F.col("v"), single_task_rows=limit).collect()
+    whole = sizing.running_total(skewed, [], ["i"], "s", F.col("v")).collect()
     total = 0.0
     for r in sorted(whole, key=lambda r: r["i"]):
         total += r["v"]
         assert r["s"] == pytest.approx(total)
-    places = sizing.dense_ordinal(skewed, ["k"], ["i"], "n", single_task_rows=limit)
+    places = sizing.dense_ordinal(skewed, ["k"], ["i"], "n")
     assert places.agg(F.min("n")).first()[0] == 0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_percentiles(spark, skewed, limit):
-    rows = {r["k"]: r for r in P.latency_stats(skewed, ["k"], "v", limit).collect()}
-    upper = {r["k"]: r for r in P.upper_median_and_p95(skewed, ["k"], "v", limit).collect()}
-    true = {r["k"]: r for r in P.true_median_and_p95(skewed, ["k"], "v", limit).collect()}
+def test_percentiles(spark, skewed):
+    rows = {r["k"]: r for r in P.latency_stats(skewed, ["k"], "v").collect()}
+    upper = {r["k"]: r for r in P.upper_median_and_p95(skewed, ["k"], "v").collect()}
+    true = {r["k"]: r for r in P.true_median_and_p95(skewed, ["k"], "v").collect()}
     values = {}
     for r in skewed.collect():
         values.setdefault(r["k"], []).append(r["v"])

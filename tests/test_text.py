@@ -232,10 +232,9 @@ def test_pairs(spark):
     assert C.hard_negatives(clean.limit(1), 5).count() == 0
 
 
-@pytest.mark.parametrize("rows", [1_000_000, 2])
-def test_negatives_do_not_depend_on_the_plan(spark, rows):
+def test_negatives_do_not_depend_on_the_plan(spark):
     clean = strings(spark, [f"string number {i}" for i in range(50)])
-    got = C.hard_negatives(clean.repartition(3), 7, seed=3, single_task_rows=rows)
+    got = C.hard_negatives(clean.repartition(3), 7, seed=3)
     per = got.groupBy("ord").agg(F.countDistinct("negative").alias("n"), F.collect_set("negative").alias("s")).collect()
     assert len(per) == 50 and all(r["n"] == 7 and f"string number {r['ord']}" not in r["s"] for r in per)
     first = got.where("ord = 0").orderBy("slot").first()["negative"]
