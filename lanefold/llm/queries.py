@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanefold.llm import bpe, chat, langid, packing, rules
+from lanefold.llm import bpe, chat, langid, packing, rules, simhash
 from lanefold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op2_perspective_rotation, op5_best_fit_packing, op7_rule_ledger, op9_ppm_language, op10_bpe_tree_concatenation)}
+QUERIES = {f.__name__: f for f in (op2_perspective_rotation, op5_best_fit_packing, op6_simhash_anchors, op7_rule_ledger, op9_ppm_language, op10_bpe_tree_concatenation)}
 SQL = {"op2_perspective_rotation": chat.ROTATED_SQL, "op7_rule_ledger": rules.JUDGE_SQL}
