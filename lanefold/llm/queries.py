@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanefold.llm import bpe, chat, langid, packing, rules, simhash, substrings, toxicity
+from lanefold.llm import bpe, chat, collisions, langid, packing, rules, simhash, substrings, toxicity
 from lanefold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op2_perspective_rotation, op3_chunk_dedup, op4_nearest_toxic_examples, op5_best_fit_packing, op6_simhash_anchors, op7_rule_ledger, op9_ppm_language, op10_bpe_tree_concatenation)}
+QUERIES = {f.__name__: f for f in (op2_perspective_rotation, op3_chunk_dedup, op4_nearest_toxic_examples, op5_best_fit_packing, op6_simhash_anchors, op7_rule_ledger, op8_collision_counting, op9_ppm_language, op10_bpe_tree_concatenation)}
 SQL = {"op2_perspective_rotation": chat.ROTATED_SQL, "op7_rule_ledger": rules.JUDGE_SQL}
