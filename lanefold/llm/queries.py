@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanefold.llm import bpe, chat, collisions, langid, packing, rules, simhash, substrings, toxicity
+from lanefold.llm import bpe, chat, collisions, langid, packing, rules, simhash, substrings, toxicity, urls
 from lanefold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"))
+
+
 def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotated(table(spark, sf_dir, "conversations"))
 
@@ -48,5 +52,5 @@ def op10_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op2_perspective_rotation, op3_chunk_dedup, op4_nearest_toxic_examples, op5_best_fit_packing, op6_simhash_anchors, op7_rule_ledger, op8_collision_counting, op9_ppm_language, op10_bpe_tree_concatenation)}
-SQL = {"op2_perspective_rotation": chat.ROTATED_SQL, "op7_rule_ledger": rules.JUDGE_SQL}
+QUERIES = {f.__name__: f for f in (op1_link_propagation, op2_perspective_rotation, op3_chunk_dedup, op4_nearest_toxic_examples, op5_best_fit_packing, op6_simhash_anchors, op7_rule_ledger, op8_collision_counting, op9_ppm_language, op10_bpe_tree_concatenation)}
+SQL = {"op1_link_propagation": urls.FILTERED_SQL, "op2_perspective_rotation": chat.ROTATED_SQL, "op7_rule_ledger": rules.JUDGE_SQL}
