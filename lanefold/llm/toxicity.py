@@ -129,10 +129,10 @@ def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]
     return sorted(r["feature"] for r in best.collect())
 
 
-def counted(docs: DataFrame, features: list[str]) -> DataFrame:
-    """``docs`` with text replaced by _at and _tf: the features it has, and how often each."""
-    kept = [c for c in docs.columns if c not in ("text", "_at", "_tf")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
+def counted(docs: DataFrame, features: list[str], with_text: bool = False) -> DataFrame:
+    """``docs`` with _at and _tf, the features a text has and how often each; the text itself on demand."""
+    kept = [c for c in docs.columns if c not in ("_at", "_tf") and (with_text or c != "text")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if with_text else ["text"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ahocorasick.Automaton()
@@ -253,12 +253,12 @@ def calibrated(index: Index, raw: float) -> float:
     return float(np.interp(raw, x, y)) if len(x) else raw
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
-    """``docs`` without text, with score, predicted and evidence (doc_id, cosine) of the nearest examples."""
+def score(docs: DataFrame, index: Index, with_text: bool = False) -> DataFrame:
+    """``docs`` with score, predicted and evidence (doc_id, cosine) of the nearest examples; text on demand."""
     model = docs.sparkSession.sparkContext.broadcast(index)
     added = ["score", "predicted", "evidence"]
     rows = docs.drop(*[c for c in added if c in docs.columns])
-    rows = counted(rows, index.features)
+    rows = counted(rows, index.features, with_text)
     kept = [c for c in rows.columns if c not in ("_at", "_tf")]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
