@@ -210,8 +210,9 @@ def _near(members: np.ndarray, homes: np.ndarray) -> Iterator[tuple[np.ndarray,
     """Index pairs of members within ``BITS`` of a home; both arrays are sorted."""
     at = np.searchsorted(members, homes)
     if len(members) <= FEW_MEMBERS:
+        own, others = homes.view(np.uint64), members.view(np.uint64)  # of a signed number, its absolute value is counted
         for i in range(0, len(homes), 256):
-            h, m = np.nonzero(np.bitwise_count(homes[i : i + 256, None] ^ members[None, :]) <= BITS)
+            h, m = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ others[None, :]) <= BITS)
             yield at[i + h], m
         return
     one = [np.int64(np.uint64(1 << b).astype(np.int64)) for b in range(64)]
