@@ -21,6 +21,8 @@ windows grow until they hold them. No queries or no vectors give no rows. Other
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,32 +55,38 @@ class SortedArrays:
         self.places = np.empty(order.shape, dtype=kind)
         np.put_along_axis(self.places, order, np.arange(len(ids), dtype=kind)[None, :].repeat(projections, 0), axis=1)
 
-    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
-        """In how many directions each vector lies in the query's window."""
-        lo = np.array([row.searchsorted(c - half) for row, c in zip(self.sorted, centre)], dtype=np.int64)
-        hi = np.array([row.searchsorted(c + half, side="right") for row, c in zip(self.sorted, centre)], dtype=np.int64)
+    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's window begins in each array, and how many places it holds."""
         kind = self.places.dtype
-        # Unsigned: places before the window wrap round to numbers beyond it.
-        inside = (self.places - lo.astype(kind)[:, None]) < (hi - lo).astype(kind)[:, None]
-        return inside.sum(axis=0, dtype=np.uint16)
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, inner products) of the best k that collide often enough, the query's own id left out."""
-        centre = self.directions[:, :-1] @ (query * (self.radius / np.sqrt((query**2).sum())))
+        lo = np.array([row.searchsorted(c - half) for row, c in zip(self.sorted, centres)])
+        hi = np.array([row.searchsorted(c + half, side="right") for row, c in zip(self.sorted, centres)])
+        return lo.astype(kind), (hi - lo).astype(kind)
+
+    def search(
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int, verified: float = VERIFIED
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, inner products) of the best k that collide often enough, the query's own id left out."""
+        sizes = np.sqrt((queries**2).sum(axis=1))
+        centres = self.directions[:, :-1] @ (queries * (self.radius / sizes)[:, None]).T
         wanted = min(len(self.ids), int(np.ceil(k + 1 + verified * len(self.ids))))
-        half, least = START * self.radius, COLLISIONS * len(self.directions)
-        while True:
-            found = np.flatnonzero(self.collisions(centre, half) >= least)
-            if len(found) >= wanted:
-                break
-            half *= GROWTH
-        found = found[self.ids[found] != query_id]
-        scores = (self.vectors[found] * query).sum(axis=1)
-        if len(found) > k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            found, scores = found[scores >= kth], scores[scores >= kth]
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found][best], scores[best]
+        least, rounds = COLLISIONS * len(self.directions), []
+        for at, (query_id, query) in enumerate(zip(query_ids.tolist(), queries)):
+            found, r = np.zeros(0, dtype=np.int64), 0
+            while len(found) < wanted:
+                if r == len(rounds):
+                    rounds.append(self.windows(centres, START * GROWTH**r * self.radius))
+                lo, size = rounds[r][0][:, at, None], rounds[r][1][:, at, None]
+                # Unsigned: places before the window wrap round to numbers beyond it.
+                inside = (self.places - lo) < size
+                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= least)
+                r += 1
+            found = found[self.ids[found] != query_id]
+            near = self.vectors[found] @ query
+            if len(found) > k:
+                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
+            scores = (self.vectors[found] * query).sum(axis=1)  # the same for equal vectors, wherever they are
+            best = np.lexsort((self.ids[found], -scores))[:k]
+            yield query_id, self.ids[found][best], scores[best]
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -114,8 +122,7 @@ def search(rows: DataFrame, is_query: Column, k: int = NEIGHBOURS, verified: flo
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             index = SortedArrays(left["vec_id"].to_numpy(), matrix(left["v"]))
-            for query_id, query in zip(right["vec_id"].to_numpy().tolist(), matrix(right["v"])):
-                ids, scores = index.nearest(query_id, query, k, verified)
+            for query_id, ids, scores in index.search(right["vec_id"].to_numpy(), matrix(right["v"]), k, verified):
                 out.append((np.full(len(ids), query_id), ids, scores))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
