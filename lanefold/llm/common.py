@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,24 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def shielded(
+    docs: DataFrame,
+    own: Sequence[str],
+    added: Sequence[str],
+    work: Callable[[DataFrame], DataFrame],
+    dropped: Sequence[str] = (),
+) -> DataFrame:
+    """``work`` on the table with all columns but ``own`` under names that clash with nothing.
+
+    The result has the table's columns without ``dropped`` ones, then those ``added``, which replace
+    any of their names.
+    """
+    safe = [c if c in own else f"_column{i}" for i, c in enumerate(docs.columns)]
+    done = work(docs.toDF(*safe))
+    kept = [F.col(s).alias(c) for s, c in zip(safe, docs.columns) if c not in added and c not in dropped]
+    return done.select(*kept, *added)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder once and read back from there."""
     path = scratch_path(df.sparkSession, label)

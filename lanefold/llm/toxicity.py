@@ -21,11 +21,11 @@ are scored alike; other columns pass through ``score`` unless they bear a result
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -35,17 +35,18 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import fewest, held_out, own_columns, slices, stored, text_column
+from lanefold.llm.common import fewest, held_out, own_columns, shielded, slices, stored, text_column
 
-MAX_EXAMPLES = 12_000
+MAX_EXAMPLES = 8_000
 MAX_FEATURES = 600
 GRAMS = (4, 5, 6, 8)
 MIN_EXAMPLES = 4
-MIN_EVIDENCE = 28.0
+MIN_EVIDENCE = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.3
 SLICE_BYTES = 1 << 20
+MOST_COUNTED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,10 +56,12 @@ def spaced(text: str) -> str:
     return f" {'  '.join(_WORD.findall(text.lower()))} "
 
 
-@lru_cache(maxsize=200_000)
-def features_of_word(word: str) -> tuple[str, ...]:
+def features_of_word(word: str) -> Iterator[str]:
     padded = f" {word} "
-    return tuple({padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)} | {padded})
+    yield padded
+    for n in GRAMS:
+        for i in range(len(padded) - n + 1):
+            yield padded[i : i + n]
 
 
 class Index(NamedTuple):
@@ -94,35 +97,40 @@ def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]
     """The features that tell toxic examples from others most clearly."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed() -> pa.RecordBatch:
+            names = [*seen[0], *seen[1]]
+            n = pa.array([*seen[0].values(), *[0] * len(seen[1])], pa.int64())
+            p = pa.array([*[0] * len(seen[0]), *seen[1].values()], pa.int64())
+            seen[0].clear()
+            seen[1].clear()
+            return pa.record_batch([pa.array(names, pa.string()), p, n], ["feature", "p", "n"])
+
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for text, toxic in zip(text_column(batch).to_pylist(), batch.column("toxic").to_pylist()):
-                found: set[str] = set()
-                for word in set(_WORD.findall(text.lower())):
-                    found.update(features_of_word(word))
-                seen[toxic].update(found)
-        names = list(seen[1])  # what no toxic example has marks none
-        yield pa.record_batch(
-            [pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64())], ["feature", "toxic"]
-        )
-        clean = list(seen[0])
-        yield pa.record_batch(
-            [pa.array(clean, pa.string()), pa.array([-seen[0][x] for x in clean], pa.int64())], ["feature", "toxic"]
-        )
+            for part in slices(batch, "text", SLICE_BYTES):
+                for text, toxic in zip(text_column(part).to_pylist(), part.column("toxic").to_pylist()):
+                    words = set(_WORD.findall(text.lower()))
+                    seen[toxic].update({f for word in words for f in features_of_word(word)})
+                    if len(seen[0]) + len(seen[1]) > MOST_COUNTED:  # the JVM adds up the parts
+                        yield flushed()
+        yield flushed()
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    counted = sample.mapInArrow(count, "feature string, toxic bigint").groupBy("feature").agg(
-        F.sum(F.greatest("toxic", F.lit(0))).alias("p"), F.sum(F.greatest(-F.col("toxic"), F.lit(0))).alias("n")
+    counted = sample.mapInArrow(count, "feature string, p bigint, n bigint").groupBy("feature").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n")
     )
     # The log-likelihood ratio of "toxic examples have it more often" against "all alike".
     p, n, total = F.col("p"), F.col("n"), toxic + clean
     term = lambda seen, size: F.when(seen > 0, seen * F.log(seen * total / ((p + n) * size))).otherwise(0.0)
     rate, other = (p + 0.5) / toxic, (n + 0.5) / clean
+    counted = stored(counted.where(p >= MIN_EXAMPLES), "features")
+    # The more features are tried, the more of them look telling by chance.
+    enough = MIN_EVIDENCE + 2 * math.log(max(1, counted.count()))
     best = (
-        counted.where((p >= MIN_EXAMPLES) & (rate > 4 * other))
+        counted.where(rate > 4 * other)
         .select("feature", (2 * (term(p, toxic) + term(n, clean))).alias("evidence"))
-        .where(F.col("evidence") >= MIN_EVIDENCE)
+        .where(F.col("evidence") >= enough)
         .orderBy(F.col("evidence").desc(), "feature")
         .limit(max_features)
     )
@@ -131,8 +139,8 @@ def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]
 
 def counted(docs: DataFrame, features: list[str], with_text: bool = False) -> DataFrame:
     """``docs`` with _at and _tf, the features a text has and how often each; the text itself on demand."""
-    kept = [c for c in docs.columns if c not in ("_at", "_tf") and (with_text or c != "text")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if with_text else ["text"]))
+    kept = [c for c in docs.columns if with_text or c != "text"]
+    rows = docs.select(*kept, *([] if with_text else ["text"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ahocorasick.Automaton()
@@ -153,7 +161,7 @@ def counted(docs: DataFrame, features: list[str], with_text: bool = False) -> Da
                     [*columns, pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], [*kept, "_at", "_tf"]
                 )
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema.fields)
     return rows.mapInArrow(count, f"{fields}_at array<int>, _tf array<int>")
 
 
@@ -255,10 +263,14 @@ def calibrated(index: Index, raw: float) -> float:
 
 def score(docs: DataFrame, index: Index, with_text: bool = False) -> DataFrame:
     """``docs`` with score, predicted and evidence (doc_id, cosine) of the nearest examples; text on demand."""
-    model = docs.sparkSession.sparkContext.broadcast(index)
     added = ["score", "predicted", "evidence"]
-    rows = docs.drop(*[c for c in added if c in docs.columns])
-    rows = counted(rows, index.features, with_text)
+    own = ("doc_id", "text")
+    return shielded(docs, own, added, lambda rows: _scored(rows, index, added, with_text), () if with_text else ("text",))
+
+
+def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) -> DataFrame:
+    model = rows.sparkSession.sparkContext.broadcast(index)
+    docs, rows = rows, counted(rows, index.features, with_text)
     kept = [c for c in rows.columns if c not in ("_at", "_tf")]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
