@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import fewest, held_out, own_columns, per_row, slices, text_column
+from lanefold.llm.common import fewest, held_out, own_columns, per_row, shielded, slices, text_column
 
 ORDER = 3
 MAX_DOCS = 1500
@@ -166,9 +166,12 @@ def _unfolded(model: Broadcast) -> Tables:
 
 def predict(docs: DataFrame, counts: Counts) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score; these two names replace any of the kind."""
-    model = docs.sparkSession.sparkContext.broadcast(counts)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    return shielded(docs, ("text",), ("lang_pred", "score"), lambda rows: _predicted(rows, counts))
+
+
+def _predicted(rows: DataFrame, counts: Counts) -> DataFrame:
+    model = rows.sparkSession.sparkContext.broadcast(counts)
+    kept = rows.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +193,7 @@ def predict(docs: DataFrame, counts: Counts) -> DataFrame:
                 named = pa.array([x or "und" for x in named], pa.string())
                 yield pa.record_batch([*part.columns, named, pa.array(sure, pa.float64())], [*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(score, f"{fields}, lang_pred string, score double")
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanefold.llm.common import shielded
+
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -45,13 +47,12 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << names.index(r) for r in set(rules))
 
 
-def _without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return df.drop(*[c for c in names if c in df.columns])
-
-
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements of each text as long columns."""
-    rows = _without(docs, MEASURES)
+    return shielded(docs, (text,), MEASURES, lambda rows: _measured(rows, text))
+
+
+def _measured(rows: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     without = lambda chars: F.length(F.translate(t, chars, ""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -69,7 +70,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     rows = rows.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c not in ("_words", "_lines")],
+        *[F.col(c) for c in rows.columns if c not in ("_words", "_lines")],
         F.size("_words").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -79,12 +80,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter(
         "_windows", lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False))
     )
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_windows"], twice["i"].alias("_starts"))
+    rows = rows.select(*[F.col(c) for c in rows.columns if c != "_windows"], twice["i"].alias("_starts"))
     shifted = lambda by: F.transform("_starts", lambda i: i + by)
     covered = F.array_union(F.array_union("_starts", shifted(1)), shifted(2))
     # A generator: filters on the measurements stay above it, instead of doing its work again.
     measures = F.struct(*MEASURES[:-1], F.size(covered).cast("long").alias(MEASURES[-1]))
-    passed = [F.col(f"`{c}`") for c in rows.columns if c != "_starts" and c not in MEASURES]
+    passed = [F.col(c) for c in rows.columns if c != "_starts" and c not in MEASURES]
     return rows.select(*passed, F.inline(F.array(measures)))
 
 
@@ -94,7 +95,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return _without(measure(docs, text), ("failed",)).withColumn("failed", failed)
+    return measure(docs, text).withColumn("failed", failed)
 
 
 def passes(rules: tuple[str, ...], failed: str = "failed") -> Column:
