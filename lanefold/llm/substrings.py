@@ -3,15 +3,14 @@
 A gear hash rolls over the bytes of each text: shift left, add the byte's gear. Its upper
 bits depend on the last 32 bytes alone, so a chunk ends where the text itself says so, and an
 insertion moves only the ends next to it. Chunks have ``MIN_CHUNK`` to ``MAX_CHUNK`` bytes, some
-``MIN_CHUNK + RATE`` on average; they go by a 128-bit digest. The first document in order of
-(doc_id, digest of its text) that holds a chunk keeps it. In the others, adjoining chunks
+``MIN_CHUNK + RATE`` on average; they go by a 128-bit digest. The document of the least
+doc_id that holds a chunk keeps it. In the others, adjoining chunks
 of that kind make up runs, and runs of at least ``MIN_RUN`` bytes are cut out, to whole words.
 A passage of 50 words is some 300 bytes; its first and last chunk may reach over its ends and stay.
 
 Chunks that a text repeats within itself are left alone, unless another document has them first.
-Rows that repeat id and text are one document given twice and are treated alike; equal ids
-with different texts are different documents. Null and empty texts have no chunks; a null
-doc_id comes first in order. A chunk in any share of the documents is combined on the map side, and
+Rows of one doc_id are one document, whatever their texts: they never shorten each other, and copies
+are treated alike. Null and empty texts have no chunks; rows without doc_id stay as they are. A chunk in any share of the documents is combined on the map side, and
 the join that follows can be split; only a document's own chunks ever meet in one task.
 """
 
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import slices, text_column
+from lanefold.llm.common import shielded, slices, stored, text_column
 
 MIN_CHUNK, RATE, MAX_CHUNK = 16, 32, 256
 MIN_RUN = 112
@@ -74,12 +73,14 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, ident, d1, d2, start, size): the chunks of every text, in bytes.
+    """(doc_id, ident, d1, d2, place): the chunks of every text, start << 16 | size in bytes.
 
     ``ident`` tells apart texts under one id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("ident"), "text").where(F.col("text") != "")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("ident"), "text").where(
+        "doc_id IS NOT NULL AND text <> ''"
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,13 +101,12 @@ def chunks(docs: DataFrame) -> DataFrame:
                         part.column("ident").take(of),
                         pa.array(both[:, 0].copy()),
                         pa.array(both[:, 1].copy()),
-                        pa.array((begins - offsets[row]).astype(np.int32)),
-                        pa.array((ends - begins).astype(np.int32)),
+                        pa.array(((begins - offsets[row]) << 16) | (ends - begins)),
                     ],
-                    ["doc_id", "ident", "d1", "d2", "start", "size"],
+                    ["doc_id", "ident", "d1", "d2", "place"],
                 )
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, ident bigint, d1 bigint, d2 bigint, start int, size int")
+    return rows.mapInArrow(cut, f"doc_id {kind}, ident bigint, d1 bigint, d2 bigint, place bigint")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -115,17 +115,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     ``parts`` are (start, size, first): place in bytes, and the id of the document that keeps it.
     """
     cut = chunks(docs)
-    holder = F.struct("doc_id", "ident")
-    firsts = (
+    # Written out, so that the join has an exchange on either side and a hot chunk can be split.
+    firsts = stored(
         cut.groupBy("d1", "d2")
-        .agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
-        .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "first")
-    )
-    again = cut.join(firsts, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).where(
-        ~F.col("first").eqNullSafe(holder)
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .where("first <> last")
+        .select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "first"),
+        "chunks",
     )
-    part = F.struct("start", "size", F.col("first.doc_id").alias("first"))
+    again = cut.join(firsts, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).where("doc_id <> first")
+    part = F.struct(F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("size"), "first")
     return again.groupBy("doc_id", "ident").agg(F.sort_array(F.collect_set(part)).alias("parts"))
 
 
@@ -159,13 +158,15 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     still hold the passages. Columns of these names in ``docs`` are replaced.
     """
     added = ["removed_spans", "removed_chars", "kept_in"]
-    kept = [c for c in docs.columns if c not in added]
+    return shielded(docs, ("doc_id", "text"), added, lambda rows: _deduplicated(rows, added, min_run))
+
+
+def _deduplicated(docs: DataFrame, added: list[str], min_run: int) -> DataFrame:
+    kept = docs.columns
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = repeated(docs).select(F.col("doc_id").alias("_id"), F.col("ident").alias("_ident"), F.col("parts").alias("_parts"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    rows = rows.join(
-        found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ident")), "left"
-    ).select(*[F.col(f"`{c}`") for c in kept], "_parts")
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ident")), "left")
+    rows = rows.select(*kept, "_parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +196,7 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             }
             yield pa.record_batch([columns[c] for c in [*kept, *added]], [*kept, *added])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(
         cut,
         f"{fields}, removed_spans array<struct<start:bigint,end:bigint>>, removed_chars bigint, kept_in array<{kind}>",
