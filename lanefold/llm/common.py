@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanefold.session import scratch_path
@@ -57,17 +57,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fewest(df: DataFrame, n: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """The first ``n`` rows in ``order``, of each group of ``by``.
+def sample_of_each(rows: DataFrame, n: int, key: str, by: str) -> DataFrame:
+    """At most ``n`` of the rows for each value of ``by``, chosen by a hash of ``key``.
 
-    Every task keeps its own first ``n`` before anything is shuffled.
+    The sizes of the groups say which hashes can be among the first ``n``; only some ``2 * n`` rows
+    of a group, however large it is, go on to be ranked.
     """
-    if by is None:
-        return df.orderBy(*order).limit(n)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
+    share = F.xxhash64(key) / F.lit(2.0**64) + F.lit(0.5)
+    near = rows.join(sizes, F.col(by) == F.col("_by")).where(share * F.col("_size") < 2 * n)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key), key))
+    return near.withColumn("_place", place).where(F.col("_place") <= n).select(*rows.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import fewest, held_out, own_columns, per_row, shielded, slices, text_column
+from lanefold.llm.common import held_out, own_columns, per_row, sample_of_each, shielded, slices, text_column
 
 ORDER = 3
 MAX_DOCS = 1500
@@ -115,9 +115,9 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS)
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     rows = own_columns(docs.where(learn), doc_id="doc_id", text="text", lang="lang")
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    chosen = fewest(
-        rows.select("doc_id", "lang").distinct(), max_docs, [F.xxhash64("doc_id"), F.col("doc_id")], ["lang"]
-    ).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    chosen = sample_of_each(rows.select("doc_id", "lang").distinct(), max_docs, "doc_id", "lang").select(
+        F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")
+    )
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

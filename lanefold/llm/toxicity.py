@@ -35,7 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import fewest, held_out, own_columns, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, own_columns, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 MAX_FEATURES = 600
@@ -84,11 +84,10 @@ def examples(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: in
         own_columns(labels, doc_id="doc_id", toxic="toxic")
         .where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     # Toxic documents are the rarer ones: half of the examples, if there are as many.
-    chosen = fewest(marked, max_examples // 2, [F.xxhash64("doc_id"), F.col("doc_id")], ["toxic"])
-    chosen = chosen.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    chosen = sample_of_each(marked, max_examples // 2, "doc_id", "toxic").select(F.col("doc_id").alias("_id"), "toxic")
     texts = own_columns(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return texts.dropDuplicates(["doc_id"]).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
 
