@@ -49,7 +49,7 @@ def cmd_eval(spark: SparkSession, a: argparse.Namespace) -> None:
     out = a.output or f"eval-results/{a.system}/{stamp}"
     tasks = task_source.read_tasks(spark, a.tasks)
     answers = stub.answer(tasks, a.seed)
-    timed = tasks.join(answers.groupBy("task_id").agg(F.max("elapsed_ms").alias("elapsed_ms")), "task_id")
+    timed = tasks.join(answers.groupBy("task_id").agg(F.max("elapsed_ms").alias("elapsed_ms")), "task_id", "left")
     scores = E.score_tasks(timed, answers.drop("elapsed_ms"), E.truth_of(tasks))
     document = reports.write_evaluation(scores, out, a.system, stamp, a.tasks)
     _print({"output": out, "overall": document["overall"]})

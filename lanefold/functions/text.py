@@ -59,18 +59,26 @@ def other_digit_class() -> str:
 
 
 @lru_cache(maxsize=None)
-def _strip_table() -> tuple[str, str]:
-    """Letters whose base is one letter, and those bases, for ``translate``."""
-    source, target = [], []
-    for cp in range(0xC0, 0x2000):
+def _strip_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """What loses a combining mark or a stroke: letters and their bases for ``translate``, with
+    the marks themselves last, as they have no base; and letters whose base is more than one."""
+    source, target, gone, many = [], [], [], []
+    for cp in range(LAST + 1):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
         ch = chr(cp)
-        parts = unicodedata.normalize("NFD", ch)
-        base = "".join(p for p in parts if not unicodedata.combining(p))
-        base = base.replace("đ", "d").replace("Đ", "D")
-        if base != ch and len(base) == 1:
+        kept = "".join(p for p in unicodedata.normalize("NFD", ch) if not unicodedata.combining(p))
+        base = unicodedata.normalize("NFC", kept.replace("đ", "d").replace("Đ", "D"))
+        if base == ch:
+            continue
+        if not base:
+            gone.append(ch)
+        elif len(base) == 1:
             source.append(ch)
             target.append(base)
-    return "".join(source), "".join(target)
+        else:
+            many.append((ch, base))
+    return "".join([*source, *gone]), "".join(target), tuple(many)
 
 
 @lru_cache(maxsize=None)
@@ -134,9 +142,19 @@ def dedup_key(x: Column) -> Column:
 
 
 def strip_marks(x: Column) -> Column:
-    """Every diacritic and tone removed, including the stroke of the d. Idempotent."""
-    source, target = _strip_table()
-    return F.regexp_replace(F.translate(x, source, target), r"\p{Mn}+", "")
+    """Every character with a combining class and the stroke of the d removed. Idempotent."""
+    source, target, many = _strip_table()
+    stripped = F.translate(x, source, target)
+    if not many:
+        return stripped
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
+    return once(
+        stripped,
+        lambda s: F.when(
+            F.translate(s, "".join(a for a, _ in many), "") != s,
+            F.aggregate(pairs, s, lambda acc, p: F.replace(acc, p["a"], p["b"])),
+        ).otherwise(s),
+    )
 
 
 def sentences(x: Column, min_chars: int = SENTENCE_MIN, max_chars: int = SENTENCE_MAX) -> Column:

@@ -1,7 +1,7 @@
 """Evaluation of ranked answers.
 
 Tasks come from the event stream: each user is asked three times. A user's answers are
-their twenty events of highest value. Correct answers are purchases (KIS), clicks (AD_HOC)
+their events, highest value first. Correct answers are purchases (KIS), clicks (AD_HOC)
 and the four highest events other than errors, in order (TRAKE). QA tasks come from the
 conversations: the first reply is the answer, words of the first request are the targets.
 """
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lanefold.functions.scoring import adhoc_score, kis_score, qa_correct
 from lanefold.operators import evaluation as E, percentiles as P, stub
+from lanefold.operators.sizing import dense_ordinal
 from lanefold.plans.inputs import table
 from lanefold.plans.noise_queries import uniform_sql
 from lanefold.plans.registry import query
 
-ANSWERS = 20
+STUB_ANSWERS = 20  # what a task file of the stub lists
 LIMITS = {"KIS": 300, "AD_HOC": 180, "TRAKE": 180, "QA": 180}
 
 
@@ -53,8 +54,9 @@ def frame_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frame_submissions(spark: SparkSession, sf: str) -> DataFrame:
-    best = _best(_events(spark, sf), ANSWERS)
-    return _per_type(best, ("KIS", "AD_HOC", "TRAKE")).select(
+    events = _events(spark, sf).withColumn("below", -F.col("value"))
+    ranked = dense_ordinal(events, ["user_id"], ["below", "event_id"], "rank").withColumn("rank", F.col("rank") + 1)
+    return _per_type(ranked.drop("below"), ("KIS", "AD_HOC", "TRAKE")).select(
         "task_id",
         "rank",
         F.col("value").alias("score"),
@@ -123,7 +125,7 @@ _BASE = f"""WITH best AS (
   kinds AS (SELECT unnest(['KIS', 'AD_HOC', 'TRAKE']) AS task_type),
   tasks AS (SELECT task_type || '-' || user_id AS task_id, task_type, CASE WHEN task_type = 'KIS' THEN 300 ELSE 180 END AS lim,
       elapsed_ms FROM (SELECT user_id, avg(value) * 10000 AS elapsed_ms FROM events GROUP BY user_id), kinds),
-  subs AS (SELECT task_type || '-' || user_id AS task_id, rank, event_id FROM best, kinds WHERE rank <= {ANSWERS}),
+  subs AS (SELECT task_type || '-' || user_id AS task_id, rank, event_id FROM best, kinds),
   truth AS (SELECT CASE event_type WHEN 'purchase' THEN 'KIS-' ELSE 'AD_HOC-' END || user_id AS task_id, event_id, NULL AS ord
       FROM events WHERE event_type IN ('purchase', 'click')
     UNION ALL SELECT 'TRAKE-' || user_id, event_id, ord FROM calm WHERE ord <= 4),
@@ -325,7 +327,7 @@ def latency_nearest_rank_c(spark, sf):
 
 def stub_tasks(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks in the task-file shape: per user three frame tasks, per conversation a question."""
-    best = _best(_events(spark, sf), ANSWERS)
+    best = _best(_events(spark, sf), STUB_ANSWERS)
     either = best.where(F.col("event_type").isin("purchase", "click")).select(
         F.concat(F.when(F.col("event_type") == "purchase", "KIS-").otherwise("AD_HOC-"), "user_id").alias("task_id"),
         F.col("rank").alias("at"),
@@ -365,7 +367,7 @@ def _u(stream: int, i: str = "0::BIGINT") -> str:
     return uniform_sql("h", stream, i)
 
 
-_STUB_SQL = f"""WITH best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= {ANSWERS}),
+_STUB_SQL = f"""WITH best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= {STUB_ANSWERS}),
     calm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 4),
     pools AS (SELECT CASE event_type WHEN 'purchase' THEN 'KIS-' ELSE 'AD_HOC-' END || user_id AS task_id, list(event_id::VARCHAR ORDER BY r) AS pool
         FROM best WHERE event_type IN ('purchase', 'click') GROUP BY 1
@@ -400,5 +402,5 @@ def stub_backend_eval(spark, sf):
     """Generate answers for every task, score and roll up."""
     tasks = stub_tasks(spark, sf)
     answers = stub.answer(tasks)
-    timed = tasks.join(answers.groupBy("task_id").agg(F.max("elapsed_ms").alias("elapsed_ms")), "task_id")
+    timed = tasks.join(answers.groupBy("task_id").agg(F.max("elapsed_ms").alias("elapsed_ms")), "task_id", "left")
     return E.roll_up(E.score_tasks(timed, answers.drop("elapsed_ms"), E.truth_of(tasks)))

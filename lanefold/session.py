@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,7 +51,8 @@ def ship(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A private folder is made only where the session names none (local tests).
+    Executors on other machines cannot read a private folder, so one is made only where all run
+    in this process; elsewhere the missing setting is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -62,6 +64,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lanefold-checkpoint-"))
         current = context.getCheckpointDir()
     return current
