@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from lanefold.operators.sizing import collect_bounded, written
 
 
+MERGE_SHARES = 64
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_VALUES = 16_000_000
 CELL_VALUES = 32_000_000  # numbers held by one cell, per side
@@ -165,10 +166,15 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def _final_top(hits: DataFrame, key: str, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(key))
-    return (
-        hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    )
+    """The best k of each query: first within shares of its hits, then over what those leave.
+
+    Each task hands in up to k hits per query, so one query can have any number of them.
+    """
+    best = [F.desc("score"), F.asc(key)]
+    share = Window.partitionBy("qid", F.pmod(F.hash(key), F.lit(MERGE_SHARES))).orderBy(*best)
+    few = hits.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= k)
+    whole = Window.partitionBy("qid").orderBy(*best)
+    return few.withColumn("rank", F.row_number().over(whole).cast("long")).where(F.col("rank") <= k)
 
 
 def _scan(

@@ -223,8 +223,8 @@ def text_profile_overall(spark, sf):
           CASE WHEN abs(a.diacritic_ratio_mean - q.diacritic_ratio_mean) >= 0.10
             THEN 'diacritic density: ' || printf('%.2f', a.diacritic_ratio_mean) || ' vs ' || printf('%.2f', q.diacritic_ratio_mean) END
           ], lambda x: x IS NOT NULL) AS flags FROM a, q)
-      SELECT array_to_string(flags, '; ') AS flags, CASE WHEN len(flags) = 0 THEN 'calibration OK (no flags)'
-        ELSE len(flags) || ' flag(s) - see flags[]' END AS verdict FROM f""",
+      SELECT array_to_string(flags, '; ') AS flags, CASE WHEN len(flags) = 0 THEN 'profiles agree'
+        ELSE 'profiles differ in ' || len(flags) || ' respect(s)' END AS verdict FROM f""",
 )
 def profile_compare_flags(spark, sf):
     anchor = R.profile_text(texts(spark, sf, "documents"), [], "text")

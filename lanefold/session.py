@@ -30,6 +30,7 @@ def build_session(app: str = "lanefold", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -38,6 +39,9 @@ def ship(spark: SparkSession) -> None:
 
     Not needed where it is installed on the cluster or given with ``--py-files``.
     """
+    # Long texts: batches for Python are bounded by size, unless the session sets its own bound.
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

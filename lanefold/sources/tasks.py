@@ -35,7 +35,7 @@ def _complaint(raw: Column, t: Column) -> Column:
         return F.coalesce(F.size(gt[name]), F.lit(0)) < 1
 
     def needs(task_type: str, name: str) -> str:
-        return f"ground_truth: task_type={task_type} requires ground_truth.{name}"
+        return f"ground_truth.{name}: missing or empty, a {task_type} task cannot do without"
 
     checks: list[tuple[Column, Column | str]] = [
         (~is_json(raw) | t.isNull(), "invalid JSON"),
@@ -56,7 +56,7 @@ def _complaint(raw: Column, t: Column) -> Column:
         ((kind == "TRAKE") & lacks("trake_frame_ids"), needs("TRAKE", "trake_frame_ids")),
         (
             (kind == "TRAKE") & (F.size(gt["trake_frame_ids"]) != 4),
-            "ground_truth: task_type=TRAKE requires exactly 4 ground_truth.trake_frame_ids",
+            "ground_truth.trake_frame_ids: a TRAKE task lists four",
         ),
     ]
     return _first(checks)
