@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import own_columns, slices, text_column
+from lanefold.llm.common import own_columns, releasing, slices, text_column
 from lanefold.llm.tokens import encoder
 
 PIECE_CHARS = 32_768
@@ -33,12 +33,14 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFr
     rows = own_columns(docs, doc_id="doc_id", text="text")
     is_long = F.coalesce(F.length("text") > piece_chars, F.lit(False))
 
+    @releasing
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = encoder(path).encode(text_column(part))
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -55,6 +57,7 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFr
                     ["row", "doc_id", "piece", "text"],
                 )
 
+    @releasing
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -87,6 +90,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The vocabulary file names no decoder, for which the library puts a space between tokens.
     """
 
+    @releasing
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(path)
         for batch in batches:
@@ -101,6 +105,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded texts, decoded again here."""
 
+    @releasing
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(path)
         spoken, decimal = [x.encode() for x in names], [str(i).encode() for i in range(len(names))]

@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, per_row, sample_of_each, shielded, slices, text_column
+from lanefold.llm.common import held_out, own_columns, per_row, releasing, resident, sample_of_each, shielded, slices, text_column
 
 ORDER = 3
 MAX_DOCS = 1500
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS)
     )
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
+    @releasing
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -153,15 +154,9 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS)
     )
 
 
-_tables: dict[str, Tables] = {}
-
-
 def _unfolded(model: Broadcast) -> Tables:
     counts = model.value
-    if counts.key not in _tables:
-        _tables.clear()
-        _tables[counts.key] = Tables(counts)
-    return _tables[counts.key]
+    return resident(counts.key, lambda: Tables(counts))
 
 
 def predict(docs: DataFrame, counts: Counts) -> DataFrame:
@@ -173,6 +168,7 @@ def _predicted(rows: DataFrame, counts: Counts) -> DataFrame:
     model = rows.sparkSession.sparkContext.broadcast(counts)
     kept = rows.columns
 
+    @releasing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):

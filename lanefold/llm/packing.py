@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import own_columns, slices, stored, text_column
+from lanefold.llm.common import own_columns, releasing, slices, stored, text_column
 from lanefold.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     ``nth`` numbers the pieces of one length within the task that made them.
     """
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), Counter()
         for batch in batches:
@@ -172,6 +173,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = best_fit_decreasing({r["length"]: r["n"] for r in lengths}, capacity)
     placements = spark.sparkContext.broadcast(np.array(sorted(plan), dtype=np.int64).reshape(-1, 6))
 
+    @releasing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, rank, _, each, sequence, offset = placements.value.T
         key = (length << 44) | rank

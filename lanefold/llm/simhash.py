@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import own_columns, slices, stored, text_column
+from lanefold.llm.common import own_columns, releasing, slices, stored, text_column
 from lanefold.llm.graph import components
 
 WORDS = 3
@@ -65,6 +65,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> bytes:
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a long."""
 
+    @releasing
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -142,6 +143,7 @@ def replicas(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
 def links(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that connect all fingerprints (column fp, distinct) within two bits of each other."""
 
+    @releasing
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fp = batch.column("fp").to_numpy()
@@ -152,6 +154,7 @@ def links(nodes: DataFrame) -> DataFrame:
                         [pa.array(anchor.astype(np.int32)), pa.array(fp[row]), pa.repeat(home, len(row))], ["anchor", "fp", "home"]
                     )
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in _and_end(batches):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import shielded, slices, stored, text_column
+from lanefold.llm.common import releasing, shielded, slices, stored, text_column
 
 MIN_CHUNK, RATE, MAX_CHUNK = 16, 32, 256
 MIN_RUN = 112
@@ -82,6 +82,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         "doc_id IS NOT NULL AND text <> ''"
     )
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -168,6 +169,7 @@ def _deduplicated(docs: DataFrame, added: list[str], min_run: int) -> DataFrame:
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ident")), "left")
     rows = rows.select(*kept, "_parts")
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()

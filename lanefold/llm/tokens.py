@@ -17,14 +17,13 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Sequence
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lanefold.llm.common import per_row
+from lanefold.llm.common import per_row, resident
 
 LEAF_CHARS = 4096
 BATCH_WORD_BYTES = 64
@@ -342,7 +341,6 @@ def _alone(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ok
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder per Python process."""
-    return WordEncoder(path)
+    """The encoder of this Python process."""
+    return resident(path, lambda: WordEncoder(path))

@@ -35,7 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, sample_of_each, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, own_columns, releasing, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 MAX_FEATURES = 600
@@ -95,6 +95,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: in
 def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
     """The features that tell toxic examples from others most clearly."""
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed() -> pa.RecordBatch:
             names = [*seen[0], *seen[1]]
@@ -136,25 +137,38 @@ def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]
     return sorted(r["feature"] for r in best.collect())
 
 
-def counted(docs: DataFrame, features: list[str], with_text: bool = False) -> DataFrame:
-    """``docs`` with _at and _tf, the features a text has and how often each; the text itself on demand."""
-    kept = [c for c in docs.columns if with_text or c != "text"]
-    rows = docs.select(*kept, *([] if with_text else ["text"]))
+def automaton(features: list[str]) -> ahocorasick.Automaton | None:
+    if not features:
+        return None
+    found = ahocorasick.Automaton()
+    for i, f in enumerate(features):
+        found.add_word(f, i)
+    found.make_automaton()
+    return found
 
+
+def features_of(found: ahocorasick.Automaton | None, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    """Of each text, the features it has and how often each."""
+    at, tf = [], []
+    for text in texts:
+        hits = Counter(i for _, i in found.iter(spaced(text))) if found else {}
+        order = sorted(hits)
+        at.append(order)
+        tf.append([hits[i] for i in order])
+    return at, tf
+
+
+def counted(docs: DataFrame, features: list[str]) -> DataFrame:
+    """``docs`` without text, with _at and _tf: the features it has, and how often each."""
+    kept = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*kept, "text")
+
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ahocorasick.Automaton()
-        for i, f in enumerate(features):
-            found.add_word(f, i)
-        if features:
-            found.make_automaton()
+        found = automaton(features)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                at, tf = [], []
-                for text in text_column(part).to_pylist():
-                    hits = Counter(i for _, i in found.iter(spaced(text))) if features else {}
-                    order = sorted(hits)
-                    at.append(order)
-                    tf.append([hits[i] for i in order])
+                at, tf = features_of(found, text_column(part).to_pylist())
                 columns = [part.column(c) for c in kept]
                 yield pa.record_batch(
                     [*columns, pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], [*kept, "_at", "_tf"]
@@ -269,33 +283,28 @@ def score(docs: DataFrame, index: Index, with_text: bool = False) -> DataFrame:
 
 def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) -> DataFrame:
     model = rows.sparkSession.sparkContext.broadcast(index)
-    docs, rows = rows, counted(rows, index.features, with_text)
-    kept = [c for c in rows.columns if c not in ("_at", "_tf")]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = [c for c in rows.columns if with_text or c != "text"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @releasing
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(model.value.features)
         for batch in batches:
             known: dict[tuple, tuple[float, list]] = {}
-            scores, evidence = [], []
-            for at, tf in zip(batch.column("_at").to_pylist(), batch.column("_tf").to_pylist()):
-                same = (tuple(at), tuple(tf))
-                if same not in known:
-                    known[same] = _rated(model, at, tf)
-                scores.append(known[same][0])
-                evidence.append(known[same][1])
-            s = np.array(scores)
-            id_type = batch.schema.field("doc_id").type
-            yield pa.record_batch(
-                [
-                    *[batch.column(c) for c in kept],
-                    pa.array(s, pa.float64()),
-                    pa.array((s >= THRESHOLD).astype(np.int32)),
-                    pa.array(evidence, pa.list_(pa.struct([("doc_id", id_type), ("cosine", pa.float64())]))),
-                ],
-                [*kept, *added],
-            )
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in kept)
+            for part in slices(batch, "text", SLICE_BYTES):
+                scores, evidence = [], []
+                for at, tf in zip(*features_of(found, text_column(part).to_pylist())):
+                    same = (tuple(at), tuple(tf))
+                    if same not in known:
+                        known[same] = _rated(model, at, tf)
+                    scores.append(known[same][0])
+                    evidence.append(known[same][1])
+                s = np.array(scores)
+                near = pa.list_(pa.struct([("doc_id", part.schema.field("doc_id").type), ("cosine", pa.float64())]))
+                result = [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, near)]
+                yield pa.record_batch([*[part.column(c) for c in kept], *result], [*kept, *added])
+
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in kept)
     return rows.mapInArrow(
         rate, f"{fields}score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double>>"
     )
