@@ -191,5 +191,5 @@ def test_empty_documents_go_through(spark):
 def test_registered():
     queries, sql = driver.queries(), driver.oracle_sql()
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries if re.match(r"op\d+_", q))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries
-    assert {q for q in sql if q.startswith("op")} == {"op1_link_propagation", "op2_perspective_rotation", "op7_rule_ledger"}
+    assert numbers == list(range(1, 14)) and "pipeline" in queries
+    assert {q for q in sql if q.startswith("op")} == {"op1_link_propagation", "op2_perspective_rotation", "op7_rule_ledger", "op12_trie_pairs", "op13_drift_clusters"}
