@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanefold.functions import vectors as V
 from lanefold.functions.identifiers import full_url, thumb_url
-from lanefold.operators import cells, frames as K, fusion, search
+from lanefold.operators import cells, frames as K, fusion, pivots, search
 from lanefold.plans.inputs import (
     LANES,
     frames,
@@ -20,6 +20,7 @@ from lanefold.plans.inputs import (
     unit_sql,
 )
 from lanefold.plans.registry import query
+from lanefold.session import scratch_path
 
 TOP = 10
 RRF_K = 60
@@ -76,7 +77,7 @@ def vector_topk_filtered(spark, sf):
 def vector_self_neighbours(spark, sf):
     docs = frames(spark, sf, "a")
     asked = docs.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec"))
-    hits = search.top_k(docs, asked, 3, dim=LANES["a"])
+    hits = pivots.nearest_join(docs, asked, 3)
     return hits.select("qid", "pk", F.round("score", 6).alias("score"), "rank")
 
 
@@ -447,9 +448,11 @@ _EXACT_SQL = topk_sql(_ASKED_SQL, f"SELECT pk, vec FROM ({lane_sql('a')})", TOP)
 
 
 def _approximate(spark: SparkSession, sf: str) -> DataFrame:
-    centroids = _cells_of(spark, sf)
-    index = cells.assign_cells(frames(spark, sf), centroids)
-    return cells.probe_search(index, centroids, _asked(spark, sf), TOP, PROBES)
+    """Search over an index in files: half of the frames first, the others appended."""
+    docs = frames(spark, sf).select("pk", "vec", (F.col("vec_id") % 2 == 0).alias("first"))
+    store = cells.StoredCells.create(docs.where("first").drop("first"), _cells_of(spark, sf), scratch_path(spark, "index"))
+    store.append(docs.where("NOT first").drop("first"))
+    return store.search(_asked(spark, sf), TOP, PROBES)
 
 
 @query("cell_assignment", f"SELECT cell, count(*) AS n, min(pk) AS first_pk FROM ({_CELL_SQL}) GROUP BY cell")

@@ -39,9 +39,14 @@ def write_index(frames: DataFrame, out: str, cluster_by: Sequence[str] = ("video
     frames.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by).write.mode("overwrite").parquet(out)
 
 
-def write_cells(index: DataFrame, out: str) -> None:
-    """An index with ``cell``, one folder per cell. Large cells become several files."""
-    index.repartition("cell", F.pmod(F.xxhash64("pk"), F.lit(16))).write.mode("overwrite").partitionBy("cell").parquet(out)
+ROWS_PER_FILE = 250_000
+
+
+def write_cells(index: DataFrame, sizes: DataFrame, out: str, key: str = "pk", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """An index with ``cell``, one folder per cell; ``sizes`` (cell, n) says into how many files a cell goes."""
+    parts = sizes.select(F.col("cell").alias("_cell"), F.ceil(F.col("n") / rows_per_file).cast("int").alias("_files"))
+    dealt = index.join(parts, F.col("cell") == F.col("_cell")).withColumn("_file", F.pmod(F.xxhash64(key), "_files"))
+    dealt.repartition("cell", "_file").drop("_cell", "_files", "_file").write.partitionBy("cell").parquet(out)
 
 
 def write_pairs(pairs: DataFrame, out: str) -> int:

@@ -190,3 +190,108 @@ def test_submissions_are_ranked_again(spark):
     rows = [(1, "a", "x", 0.9, 2), (1, "b", "x", 0.8, 5)]
     out = fusion.to_submissions(hits(spark, rows)).orderBy("rank").collect()
     assert [(r["rank"], r["frame_id"]) for r in out] == [(1, "a"), (2, "b")]
+
+
+# Pivots and the stored index
+
+from lanefold.operators import pivots  # noqa: E402
+from lanefold.sinks import tables  # noqa: E402
+
+
+def table_of(spark, vectors, keys=None):
+    rows = [(keys[i] if keys else i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "pk long, vec array<double>").repartition(3)
+
+
+def asked_of(spark, vectors):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "qid long, qvec array<double>")
+
+
+def best_pairs(docs, asked, k):
+    scores = np.round(np.asarray(asked) @ np.asarray(docs).T, 12)
+    return {(q, int(i), r + 1) for q in range(len(asked)) for r, i in enumerate(sorted(range(len(docs)), key=lambda i: (-scores[q, i], i))[:k])}
+
+
+def found_pairs(hits):
+    rows = hits.collect()
+    out = {(r["qid"], r["pk"], r["rank"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["blobs", "norms", "copies", "flat"])
+def test_nearest_join_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(7)
+    docs = rng.normal(size=(260, 6))
+    if kind == "blobs":
+        docs = rng.normal(size=(9, 6))[rng.integers(0, 9, 260)] * 5 + 0.1 * docs
+    elif kind == "norms":
+        docs *= rng.exponential(size=(260, 1)) ** 3
+    elif kind == "copies":
+        docs[40:200] = docs[3]
+    else:
+        docs[:] = 0
+    asked = np.concatenate([docs[:50], rng.normal(size=(20, 6)), np.zeros((1, 6))])
+    hits = pivots.nearest_join(table_of(spark, docs), asked_of(spark, asked), 4, docs_per_group=50, queries_per_group=9)
+    assert found_pairs(hits) == best_pairs(docs, asked, 4)
+
+
+def test_nearest_join_of_few_and_none(spark):
+    docs, asked = table_of(spark, np.eye(3)), asked_of(spark, np.eye(3)[:2])
+    assert found_pairs(pivots.nearest_join(docs, asked, 10)) == best_pairs(np.eye(3), np.eye(3)[:2], 10)
+    assert pivots.nearest_join(docs.where("false"), asked, 2).count() == 0
+    assert pivots.nearest_join(docs, asked.where("false"), 2).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        pivots.nearest_join(docs, asked, 0)
+
+
+def test_partitions_are_pruned(spark):
+    rng = np.random.default_rng(3)
+    docs = rng.normal(size=(40, 8))[rng.integers(0, 40, 2_000)] * 6 + 0.05 * rng.normal(size=(2_000, 8))
+    placed, found = pivots.partitioned(table_of(spark, docs), 3, "vec", "pk", (), 40)
+    assert found.n.sum() == 2_000 == placed.count()
+    asked = docs[:300]
+    far = found.of_queries(asked)
+    home = np.where(found.n > 0, far, np.inf).argmin(axis=1)
+    scores = asked @ docs.T
+    cut = np.sort(scores, axis=1)[:, -3]
+    within = np.sqrt(np.maximum(0, (asked**2).sum(axis=1) + found.largest - 2 * cut))
+    visited = found.visited(far, home, within)
+    cell = {r["pk"]: r["cell"] for r in placed.select("pk", F.col("_cell").alias("cell")).collect()}
+    for q in range(300):
+        for i in np.flatnonzero(scores[q] >= cut[q]):
+            assert visited[q, cell[int(i)]] or home[q] == cell[int(i)]
+    assert visited.sum() < 0.2 * 300 * (found.n > 0).sum()
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    from lanefold.operators.cells import StoredCells
+
+    rng = np.random.default_rng(9)
+    centres = unit(rng.normal(size=(30, 8))).astype(float)
+    docs = unit(centres[rng.integers(0, 30, 900)] + 0.05 * rng.normal(size=(900, 8))).astype(float)
+    asked = unit(docs[::30] + 0.02 * rng.normal(size=(30, 8))).astype(float)
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell long, vec array<double>")
+    monkeypatch.setattr(tables, "ROWS_PER_FILE", 10)
+    path = str(tmp_path / "index")
+    store = StoredCells.create(table_of(spark, docs[:600]), centroids, path)
+    before = {f.name for f in (tmp_path / "index" / "vectors").glob("*/*/*.parquet")}
+    queries = asked_of(spark, asked)
+    assert found_pairs(store.search(queries, 5, 30)) == best_pairs(docs[:600], asked, 5)
+    store.append(table_of(spark, docs[600:], list(range(600, 900))))
+    assert before <= {f.name for f in (tmp_path / "index" / "vectors").glob("*/*/*.parquet")}
+    assert found_pairs(store.search(queries, 5, 30)) == best_pairs(docs, asked, 5)
+    # A batch whose write did not end is not in the manifest, and not read.
+    table_of(spark, docs[:50], list(range(5_000, 5_050))).withColumn("cell", F.lit(1)).write.partitionBy("cell").parquet(f"{path}/vectors/batch=broken")
+    few = store.search(queries, 5, 4)
+    assert "dynamicpruning" in few._jdf.queryExecution().toString()
+    got = found_pairs(few)
+    assert len({x[:2] for x in got} & {x[:2] for x in best_pairs(docs, asked, 5)}) >= 0.95 * 150
+    # Few or many queries and cells, the hits are the same.
+    monkeypatch.setattr(cells, "MAX_QUERIES", 7)
+    monkeypatch.setattr(cells, "MAX_CELLS", 3)
+    many = store.search(queries, 5, 4)
+    assert "dynamicpruning" in many._jdf.queryExecution().toString()
+    assert found_pairs(many) == got
+    store.append(table_of(spark, docs[:3], [10_000, 10_001, 10_002]))
+    assert store.sizes.agg(F.sum("n")).first()[0] == 903
