@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lanefold.embedding.pseudo import PseudoEmbedder, mean_pool
 from lanefold.functions import noise as N
+from lanefold.operators import sparse
 from lanefold.operators.search import top_k
-from lanefold.operators.sizing import spread
+from lanefold.operators.sizing import spread, written
 
 # The ship gate's target, and the depth at which an answer is of use.
 SHIP_GATE_TARGET = 0.85
@@ -46,6 +47,16 @@ def pooled_retriever(embedder: PseudoEmbedder) -> Retriever:
     return dense_retriever(lambda text: mean_pool(embedder.encode_tokens(text), embedder.dim))
 
 
+def sparse_retriever(terms: Callable[[Column], Column]) -> Retriever:
+    """Search by weighted terms of texts; exact, without encoding anything."""
+
+    def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+        index = sparse.postings(sparse.frequencies(spread(docs), "did", terms(F.col("text"))))
+        return sparse.top_k(sparse.frequencies(spread(queries), "qid", terms(F.col("text"))), index, k)
+
+    return search
+
+
 def degradation_at_k(
     queries: DataFrame,
     retrieve: Retriever,
@@ -53,8 +64,9 @@ def degradation_at_k(
     k: int = 10,
     modes: Sequence[str] = N.MODES,
     seed: int = 0,
+    others: DataFrame | None = None,
 ) -> DataFrame:
-    """(mode, degradation) per mode and ``overall``; the clean queries are the documents.
+    """(mode, degradation) per mode and ``overall``; the clean queries are documents, and so are ``others`` (did, text).
 
     Recall at k of the noisy queries over that of the clean ones, each query's own text
     being its target; 0 when the clean recall is 0. All modes are searched together.
@@ -62,6 +74,8 @@ def degradation_at_k(
     if k <= 0:
         raise ValueError(f"k must be positive; got {k}")
     docs = queries.select(F.col("qid").alias("did"), "text")
+    if others is not None:
+        docs = docs.unionByName(others.select("did", "text"))
     n = queries.count()
     if n == 0:
         raise ValueError("no queries")
@@ -77,7 +91,7 @@ def degradation_at_k(
         noisy.select("qid", "mode", F.col("noisy").alias("text"))
     )
     width = F.lit(len(kinds)).cast("long")
-    asked = asked.select((F.col("qid") * width + code).alias("qid"), "text")
+    asked = written(asked.select((F.col("qid") * width + code).alias("qid"), "text"), "noisy")
     hits = retrieve(asked, docs, k).select(
         F.floor(F.col("qid") / width).alias("own"), (F.col("qid") % width).alias("kind"), "did"
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lanefold.embedding.pseudo import PseudoEmbedder, mean_pool
 from lanefold.functions import noise as N, vectors as V
 from lanefold.functions.hashing import MODULUS
-from lanefold.operators import corpus as C, profiling as R, robustness as B
+from lanefold.functions.text import strip_marks
+from lanefold.operators import corpus as C, profiling as R, robustness as B, sparse as S
 from lanefold.plans.inputs import frames, lane_sql, prototype_sql, prototypes, table, texts
 from lanefold.plans.registry import query
 from lanefold.plans.text_queries import CLEAN_SQL, _measures_sql, _PROFILE_SQL, clean_documents, nfd_sql
@@ -225,28 +226,89 @@ def token_mean_pool(spark, sf):
     return vectors.select("item_id", F.round(V.norm(F.col("v")), 5).alias("norm"))
 
 
+GRAMS = 6
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-@query("degradation_at_k")
+def _others(spark, sf):
+    """Turns of all conversations are documents beside the questions themselves."""
+    return table(spark, sf, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("did"), "text")
+
+
+def _grams(text):
+    return S.char_grams(text, GRAMS)
+
+
+def _folded_grams(text):
+    return S.char_grams(F.lower(strip_marks(text)), GRAMS)
+
+
+_FOLD_SQL = f"replace(replace(regexp_replace({nfd_sql('text')}, '\\p{{Mn}}', '', 'g'), 'đ', 'd'), 'Đ', 'D')"
+_WORDS_SQL = "list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _terms_sql(kind: str) -> str:
+    """(id, term) of a relation (id, text) named ``r``."""
+    if kind == "words":
+        return f"SELECT id, unnest({_WORDS_SQL}) AS term FROM r"
+    text = f"lower({_FOLD_SQL})" if kind == "folded" else "text"
+    # The code points of a text are taken once.
+    return f"""SELECT id, unnest(CASE WHEN len(cs) >= {GRAMS} THEN list_transform(range(1, len(cs) - {GRAMS - 2}), lambda i: {" || ".join(f"cs[i + {j}]" for j in range(GRAMS))})
+        WHEN len(cs) = 0 THEN [] ELSE [array_to_string(cs, '')] END) AS term FROM (SELECT id, regexp_extract_all({text}, '(?s).') AS cs FROM r)"""
+
+
+def _degradation_sql(kind: str, k: int = 10) -> str:
+    modes = [*N.MODES]
+    asked = "SELECT item_id AS own, 'clean' AS mode, text FROM benchmark UNION ALL SELECT doc_id, mode, text FROM (" + _all_modes_sql(
+        "SELECT item_id AS doc_id, text FROM benchmark"
+    ) + ")"
+    order = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(modes))
+    return f"""WITH asked AS MATERIALIZED (SELECT row_number() OVER () AS id, own, mode, text FROM ({asked})),
+      docs AS MATERIALIZED (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1 - conv_id * 1000 - turn, text FROM conversations),
+      dt AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM ({_terms_sql(kind).replace("FROM r", "FROM docs")}) GROUP BY ALL),
+      idf AS MATERIALIZED (SELECT term, ln(1 + (SELECT count(DISTINCT id) FROM dt)::DOUBLE / count(*)) AS idf FROM dt GROUP BY term),
+      dw AS MATERIALIZED (SELECT id AS did, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM dt JOIN idf USING (term)),
+      qw AS MATERIALIZED (SELECT id, term, count(*) * any_value(idf) AS q FROM ({_terms_sql(kind).replace("FROM r", "FROM asked")}) JOIN idf USING (term) GROUP BY id, term),
+      hits AS (SELECT * FROM (SELECT id, did, row_number() OVER (PARTITION BY id ORDER BY score DESC, did) AS rank FROM (
+        SELECT id, did, round(sum(q * w), 9) AS score FROM qw JOIN dw USING (term) GROUP BY id, did)) WHERE rank <= {k}),
+      recall AS MATERIALIZED (SELECT mode, count(did)::DOUBLE / count(*) AS r FROM asked LEFT JOIN hits ON hits.id = asked.id AND did = own GROUP BY mode),
+      kept AS MATERIALIZED (SELECT mode, CASE WHEN c > 0 THEN r / c ELSE 0.0 END AS degradation FROM recall, (SELECT r AS c FROM recall WHERE mode = 'clean') WHERE mode <> 'clean')
+      SELECT mode, degradation FROM kept
+      UNION ALL SELECT 'overall', list_sum(list(degradation ORDER BY CASE mode {order} END)) / {len(modes)}.0::DOUBLE FROM kept"""
+
+
+@query("degradation_at_k", f"SELECT mode, round(degradation, 6) AS degradation FROM ({_degradation_sql('grams')})")
 def degradation_at_k(spark, sf):
-    """Token search over the benchmark texts under every noise mode."""
-    retrieve = B.late_interaction_retriever(PseudoEmbedder().encode_tokens)
-    scores = B.degradation_at_k(_questions(spark, sf), retrieve, k=10, seed=SEED)
+    """Search by character n-grams for the benchmark texts under every noise mode, among them and all conversations."""
+    scores = B.degradation_at_k(_questions(spark, sf), B.sparse_retriever(_grams), k=10, seed=SEED, others=_others(spark, sf))
     return scores.select("mode", F.round("degradation", 6).alias("degradation"))
 
 
-@query("robustness_verdict")
+_GATE_SQL = " CROSS JOIN ".join(
+    f"(SELECT round(degradation, 9) AS {name} FROM ({_degradation_sql(kind)}) WHERE mode = 'overall')"
+    for name, kind in (("overall", "folded"), ("baseline_maxsim", "words"), ("baseline_dense", "grams"))
+)
+
+
+@query(
+    "robustness_verdict",
+    f"""SELECT {B.SHIP_GATE_TARGET}::DOUBLE AS target, *, overall >= {B.SHIP_GATE_TARGET}::DOUBLE AS passes_absolute,
+        overall > baseline_maxsim AS beats_maxsim, overall > baseline_dense AS beats_dense,
+        overall >= {B.SHIP_GATE_TARGET}::DOUBLE AND overall > baseline_maxsim AND overall > baseline_dense AS passes_ship_gate
+      FROM {_GATE_SQL}""",
+)
 def robustness_verdict(spark, sf):
-    """Wide token vectors against narrow ones and against pooled vectors."""
-    asked = _questions(spark, sf)
-    wide, narrow = PseudoEmbedder(64), PseudoEmbedder(8)
-    return B.ship_gate(
-        B.degradation_at_k(asked, B.late_interaction_retriever(wide.encode_tokens), seed=SEED),
-        B.degradation_at_k(asked, B.late_interaction_retriever(narrow.encode_tokens), seed=SEED),
-        B.degradation_at_k(asked, B.pooled_retriever(wide), seed=SEED),
-    )
+    """N-grams of folded texts against words and against n-grams of the texts as they are."""
+    asked, others = _questions(spark, sf), _others(spark, sf)
+
+    def overall(terms):
+        scores = B.degradation_at_k(asked, B.sparse_retriever(terms), seed=SEED, others=others)
+        return scores.withColumn("degradation", F.round("degradation", 9))
+
+    return B.ship_gate(overall(_folded_grams), overall(S.space_words), overall(_grams))
 
 
 _GOLD_SQL = " UNION ALL ".join(

@@ -11,7 +11,7 @@ def test_every_query_has_a_name_and_most_have_sql():
     queries, sql = driver.queries(), driver.oracle_sql()
     assert set(sql) <= set(queries) and set(registry.registered()) <= set(queries)
     assert set(registry.registered()) - set(sql) == {
-        "degradation_at_k", "pseudo_embed", "robustness_verdict", "stub_backend_eval", "token_mean_pool",
+        "pseudo_embed", "stub_backend_eval", "token_mean_pool",
     }
 
 

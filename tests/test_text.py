@@ -288,3 +288,62 @@ def test_json_leaves(spark):
     assert got[0] == ["value", "nested", "abcd", 'say "hi" é']
     assert got[1] == ["just a string"] and got[2] == [] and len(got[3][0]) == 200_000
     assert got[4] == ["with: colon", "spaced"] and got[5:] == [[], [], []]
+
+
+# sparse search
+
+
+def plain_sparse(docs, asked, terms, k):
+    import math
+    from collections import Counter
+
+    tf = {d: Counter(terms(t)) for d, t in docs.items()}
+    n = sum(1 for c in tf.values() if c)
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log1p(n / df[t]) for t in df}
+    out = {}
+    for q, text in asked.items():
+        c, scores = Counter(terms(text)), {}
+        for d, own in tf.items():
+            length = math.sqrt(sum((own[t] * idf[t]) ** 2 for t in own))
+            if any(t in own for t in c):
+                scores[d] = round(sum(c[t] * idf[t] * own[t] * idf[t] for t in c if t in own) / length, 9)
+        for r, d in enumerate(sorted(scores, key=lambda d: (-scores[d], d))[:k]):
+            out[q, r + 1] = (d, pytest.approx(scores[d], abs=2e-9))
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_sparse_search_equals_all_pairs(spark, k):
+    from lanefold.operators import sparse
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(r.choice([1, 2, 3, 3, 5]))) for _ in range(60)]
+    docs = {i: " ".join(r.choices(words, weights=[1 / (j + 1) for j in range(60)], k=r.choice([1, 4, 20, 60]))) for i in range(120)}
+    docs |= {500: "", 501: None, 502: "the same words", 503: "the same words", 504: "  \t\n"}
+    asked = {i: docs[i] for i in range(0, 120, 7)} | {900: "nothing zzzz", 901: "", 902: "the same words and ab"}
+    frame = lambda rows, key: sparse.frequencies(spark.createDataFrame(list(rows.items()), f"{key} long, text string"), key, sparse.space_words(F.col("text")))
+    hits = sparse.top_k(frame(asked, "qid"), sparse.postings(frame(docs, "did")), k).collect()
+    got = {(h["qid"], h["rank"]): (h["did"], h["score"]) for h in hits}
+    assert len(got) == len(hits) and got == plain_sparse(docs, asked, lambda t: (t or "").split(), k)
+
+
+def test_frequent_terms_need_not_find(spark):
+    from lanefold.operators import sparse
+
+    docs = [(i, f"rare{i % 40} rare{i % 40}x common often") for i in range(400)]
+    rows = sparse.frequencies(spark.createDataFrame(docs, "did long, text string"), "did", sparse.space_words(F.col("text")))
+    index = sparse.postings(rows)
+    stats = index.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    asked = rows.where("did < 40").join(stats, "term").select(F.col("did").alias("qid"), "term", F.col("most").alias("q"), "df", "most")
+    judged = sparse.essential(asked, asked.select("qid").distinct().withColumn("theta", F.lit(1.0)))
+    assert {r["term"] for r in judged.where("NOT finds").collect()} == {"common", "often"}
+    assert judged.where("rest >= theta").count() == 0
+
+
+def test_char_grams(spark):
+    from lanefold.operators import sparse
+
+    df = spark.createDataFrame([("abcd",), ("ab",), ("",), (None,), ("á🙂c",), ("x" * 30_000,)], "t string")
+    rows = [r[0] for r in df.select(sparse.char_grams(F.col("t"), 3)).collect()]
+    assert rows[:5] == [["abc", "bcd"], ["ab"], [], [], ["á🙂c"]] and len(rows[5]) == 29_998
