@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import gcd
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanefold.functions import noise as N
-from lanefold.functions.hashing import key_hash_col
+from lanefold.functions.hashing import permuted_col, wide_key_col
 from lanefold.functions.text import (
     MIN_CHARS,
     casefold,
@@ -22,8 +23,6 @@ from lanefold.functions.text import (
 )
 from lanefold.operators.sizing import dense_ordinal, spread, written
 
-OFFSET_STEP = 1_000_003
-
 
 def row_strings(
     df: DataFrame,
@@ -111,8 +110,9 @@ def hard_negatives(
 ) -> DataFrame:
     """(ord, slot, negative): up to ``n`` distinct other strings per anchor.
 
-    Strings are numbered. Anchor ``i`` takes those at ``i + 1 + (start_i + j * step) mod (N - 1)``
-    for j < n: never itself, and never one twice, since the step is coprime to N - 1.
+    Strings are numbered. Each anchor has its own random permutation of 0 to N - 2, and its slot j
+    takes string ``i + 1 + permutation(j)`` modulo N: never itself, never one twice, and one slot
+    tells nothing of another.
     """
     clean = written(clean.select(order, text), "clean")  # numbered, counted and joined below
     return _negatives(clean, n, seed, text, order)
@@ -126,23 +126,10 @@ def _negatives(
     take = min(n, total - 1)
     if take <= 0:
         return numbered.select(order, F.lit(0).alias("slot"), F.col(text).alias("negative")).limit(0)
-    step = OFFSET_STEP
-    while gcd(step, total - 1) != 1:
-        step += 1
-    start = key_hash_col(F.concat(F.lit(f"{seed}|hardnegs|"), F.col("idx").cast("string")))
-    asks = numbered.select(
-        order,
-        "idx",
-        start.alias("start"),
-        F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("slot"),
-    ).select(
-        order,
-        "slot",
-        (
-            (F.col("idx") + 1 + (F.col("start") + F.col("slot") * F.lit(step).cast("long")) % F.lit(total - 1))
-            % F.lit(total)
-        ).alias("idx"),
-    )
+    key = wide_key_col(F.concat(F.lit(f"{seed}|hardnegs|"), F.col("idx").cast("string")))
+    asks = numbered.select(order, "idx", key.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("slot"))
+    away = permuted_col(F.col("slot"), F.col("key"), total - 1)
+    asks = asks.select(order, "slot", ((F.col("idx") + 1 + away) % F.lit(total)).alias("idx"))
     return asks.join(numbered.select("idx", F.col(text).alias("negative")), "idx").select(
         order, "slot", "negative"
     )
@@ -184,21 +171,22 @@ def contrastive_pairs(
 def union_sources(named: Sequence[tuple[str, object]]) -> tuple[DataFrame | None, list[str], list[str]]:
     """(rows, used, skipped): sources in order, those that fail or are empty left out.
 
-    Each source is a name and a function returning a DataFrame of (ord, text).
+    Each source is a name and a function returning a DataFrame of (ord, text). A source is written to
+    a folder of its own and counts only once that is complete: one that fails in its last file
+    leaves nothing behind among the others. Faults of the program itself are not caught.
     """
     used, skipped, frames = [], [], []
     for i, (name, load) in enumerate(named):
         try:
-            frame = load()
-            empty = frame.isEmpty()
-        except Exception:
+            staged = written(load().select(F.lit(i).alias("source_ord"), "ord", "text"), "source")
+        except (PySparkException, Py4JJavaError, OSError):
             skipped.append(name)
             continue
-        if empty:
+        if staged.isEmpty():
             skipped.append(name)
             continue
         used.append(name)
-        frames.append(frame.select(F.lit(i).alias("source_ord"), "ord", "text"))
+        frames.append(staged)
     rows = reduce(DataFrame.unionByName, frames) if frames else None
     return rows, used, skipped
 

@@ -11,7 +11,7 @@ from lanefold.functions.text import strip_marks
 from lanefold.operators import corpus as C, profiling as R, robustness as B, sparse as S
 from lanefold.plans.inputs import frames, lane_sql, prototype_sql, prototypes, table, texts
 from lanefold.plans.registry import query
-from lanefold.plans.text_queries import CLEAN_SQL, _measures_sql, _PROFILE_SQL, clean_documents, nfd_sql
+from lanefold.plans.text_queries import CLEAN_SQL, _measures_sql, _PROFILE_SQL, clean_documents, negatives_sql, nfd_sql
 
 SEED = 0
 
@@ -178,10 +178,8 @@ def noise_variants(spark, sf):
 
 @query(
     "corpus_pairs",
-    f"""WITH c AS (SELECT doc_id, norm, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM ({CLEAN_SQL})),
-      n AS (SELECT a.doc_id, string_agg(md5(c.norm), ',' ORDER BY slot) AS negs FROM (
-          SELECT doc_id, slot, (idx + 1 + (('0x' || substr(md5('0|hardnegs|' || idx), 1, 7))::BIGINT + slot * 1000003) % (total - 1)) % total AS at
-          FROM c, range(0, 3) r(slot)) a JOIN c ON c.idx = a.at GROUP BY a.doc_id)
+    negatives_sql(3)
+    + f""", n AS (SELECT a.doc_id, string_agg(md5(c.norm), ',' ORDER BY slot) AS negs FROM asks a JOIN c ON c.idx = a.at GROUP BY a.doc_id)
       SELECT p.doc_id, variant::BIGINT AS variant, mode, md5(c.norm) AS anchor_md5, md5(p.text) AS noisy_md5, negs AS negatives_md5
       FROM ({_all_modes_sql(f"SELECT doc_id, norm AS text FROM ({CLEAN_SQL})")}) p JOIN c USING (doc_id) JOIN n USING (doc_id)""",
 )

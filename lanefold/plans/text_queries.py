@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanefold.functions import text as X
+from lanefold.functions.hashing import HALF_KEY, MODULUS, PERMUTATION_ROUNDS
 from lanefold.operators import corpus as C, profiling as R
 from lanefold.plans.inputs import table, texts
 from lanefold.plans.registry import query
@@ -270,12 +271,29 @@ def issue_titles(spark, sf):
     )
 
 
-_HARD_SQL = f"""WITH c AS (SELECT doc_id, norm, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM ({CLEAN_SQL})),
-    asks AS (SELECT doc_id, slot, (idx + 1 + (('0x' || substr(md5('0|hardnegs|' || idx), 1, 7))::BIGINT + slot * 1000003) % (total - 1)) % total AS at
-      FROM c, range(0, 7) r(slot))"""
+def _permuted_sql(relation: str) -> str:
+    """``v`` of (v, n, a, b, high, low, ...) through the keyed permutation of ``functions.hashing``."""
+    sql = f"SELECT *, v // b AS l, v % b AS r FROM {relation}"
+    for i in range(PERMUTATION_ROUNDS):
+        side, other, width = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        t = f"(({other} * 69621 + high + {i * 101390422}) % {MODULUS})"
+        stirred = f"((({t} * {t} + low + {i}) % {MODULUS}) * 48271 % {MODULUS})"
+        sql = f"SELECT * REPLACE (({side} + {stirred}) % {width} AS {side}) FROM ({sql})"
+    return f"SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS v) FROM ({sql})"
 
 
-@query("hard_negatives", _HARD_SQL + " SELECT a.doc_id, slot, md5(c.norm) AS negative_md5 FROM asks a JOIN c ON c.idx = a.at")
+def negatives_sql(n: int) -> str:
+    """CTEs ``c`` (doc_id, norm, idx, total) and ``asks`` (doc_id, slot, at)."""
+    return f"""WITH RECURSIVE c AS MATERIALIZED (
+      SELECT doc_id, norm, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM ({CLEAN_SQL})),
+    drawn AS (SELECT *, (n + a - 1) // a AS b FROM (
+      SELECT doc_id, idx, total, slot, slot AS v, total - 1 AS n, floor(sqrt(total - 2))::BIGINT + 1 AS a, key >> 30 AS high, key & {HALF_KEY - 1} AS low
+      FROM (SELECT *, ('0x' || substr(md5('0|hardnegs|' || idx), 1, 15))::BIGINT AS key FROM c), range(0, {n}) AS r(slot) WHERE slot < total - 1)),
+    walk AS ({_permuted_sql("drawn")} UNION ALL {_permuted_sql("(SELECT * FROM walk WHERE v >= n)")}),
+    asks AS (SELECT doc_id, slot, (idx + 1 + v) % total AS at FROM walk WHERE v < n)"""
+
+
+@query("hard_negatives", negatives_sql(7) + " SELECT a.doc_id, slot, md5(c.norm) AS negative_md5 FROM asks a JOIN c ON c.idx = a.at")
 def hard_negatives(spark, sf):
     negs = C.hard_negatives(clean_documents(spark, sf), 7, order="doc_id")
     return negs.select("doc_id", F.col("slot").cast("long").alias("slot"), F.md5("negative").alias("negative_md5"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanefold.functions import vectors as V
 from lanefold.functions.identifiers import full_url, thumb_url
-from lanefold.operators import cells, frames as K, fusion, pivots, search
+from lanefold.operators import cells, frames as K, fusion, heads, pivots, search
 from lanefold.plans.inputs import (
     LANES,
     frames,
@@ -502,3 +502,52 @@ def maxsim_late_interaction(spark, sf):
     asked = prototypes(spark, sf).select("qid", _tokens(F.col("qvec")).alias("qvec"))
     hits = search.top_k(docs, asked, TOP, scorer="late_interaction")
     return hits.select("qid", "pk", F.round("score", 6).alias("score"), "rank")
+
+
+HEAD_IN, HEAD_OUT = 16, 8
+
+
+def _head_weights(prototypes_: DataFrame) -> DataFrame:
+    """A head of two layers, cut from the mean vectors of the labels."""
+    numbered = prototypes_.select(F.col("qid").cast("int").alias("unit"), "qvec")
+    layers = [(0, 1, HEAD_IN, 40), (1, 21, 10, 50)]
+    parts = [
+        numbered.select(F.lit(layer).alias("layer"), "unit", F.slice("qvec", at, width).alias("weights"), F.col("qvec")[bias - 1].alias("bias"))
+        for layer, at, width, bias in layers
+    ]
+    return parts[0].unionByName(parts[1].where(F.col("unit") < HEAD_OUT))
+
+
+_ERF_T = f"(1 / (1 + {heads.ERF_P} * abs(x / sqrt(2.0))))"
+
+
+def _erf_sql() -> str:
+    series = "0.0::DOUBLE"
+    for a in reversed(heads.ERF_A):
+        series = f"(({series} + {a}::DOUBLE) * t)"
+    return f"sign(x) * (1 - {series} * exp(-(x / sqrt(2.0)) * (x / sqrt(2.0))))"
+
+
+@query(
+    "projection_head",
+    f"""WITH heads AS MATERIALIZED ({prototype_sql('a')}),
+      tokens AS (SELECT pk, k, vec[16 * k + 1:16 * k + 16] AS v FROM ({lane_sql('a')}), range(0, 4) AS r(k)),
+      hidden AS (SELECT pk, k, qid AS unit, list_dot_product(v, qvec[1:{HEAD_IN}]) + qvec[40] AS x FROM tokens, heads),
+      active AS (SELECT pk, k, list(g ORDER BY unit) AS h FROM (
+        SELECT pk, k, unit, x * 0.5 * (1 + {_erf_sql()}) AS g FROM (SELECT *, {_ERF_T} AS t FROM hidden)) GROUP BY pk, k),
+      projected AS (SELECT pk, k, list(list_dot_product(h, qvec[21:30]) + qvec[50] ORDER BY qid) AS o FROM active, heads WHERE qid < {HEAD_OUT} GROUP BY pk, k)
+      SELECT pk, k AS token, round(list_sum(u), 6) AS total, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(list_dot_product(u, [{", ".join(f"{i + 1}.0::DOUBLE" for i in range(HEAD_OUT))}]), 6) AS slanted
+      FROM (SELECT pk, k, {unit_sql('o')} AS u FROM projected)""",
+)
+def projection_head(spark, sf):
+    """Every vector as four tokens, through a head whose weights are a table."""
+    head = heads.ProjectionHead(_head_weights(prototypes(spark, sf)))
+    out = frames(spark, sf).select("pk", F.posexplode(head.forward(_tokens(F.col("vec")))).alias("token", "u"))
+    slant = F.array(*[F.lit(float(i + 1)) for i in range(HEAD_OUT)])
+    return out.select(
+        "pk",
+        F.col("token").cast("long").alias("token"),
+        F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+        F.round(V.norm(F.col("u")), 6).alias("norm"),
+        F.round(V.dot(F.col("u"), slant), 6).alias("slanted"),
+    )

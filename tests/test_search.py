@@ -295,3 +295,35 @@ def test_stored_index(spark, tmp_path, monkeypatch):
     assert found_pairs(many) == got
     store.append(table_of(spark, docs[:3], [10_000, 10_001, 10_002]))
     assert store.sizes.agg(F.sum("n")).first()[0] == 903
+
+
+# Projection head
+
+
+def test_projection_head(spark):
+    import math
+
+    from lanefold.operators import heads
+
+    rng = np.random.default_rng(2)
+    w0, b0, w1, b1 = rng.normal(size=(5, 3)), rng.normal(size=5), rng.normal(size=(2, 5)), rng.normal(size=2)
+    rows = [(0, i, w.tolist(), float(b)) for i, (w, b) in enumerate(zip(w0, b0))] + [(1, i, w.tolist(), float(b)) for i, (w, b) in enumerate(zip(w1, b1))]
+    kind = "layer int, unit int, weights array<double>, bias double"
+    head = heads.ProjectionHead(spark.createDataFrame(rows[::-1], kind))
+    assert head.dim == 2
+    docs = [rng.normal(size=(n, 3)).tolist() for n in (2, 0, 4)] + [None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, t array<array<float>>").repartition(2)
+    got = {r["i"]: r["v"] for r in df.select("i", head.forward(F.col("t")).alias("v")).collect()}
+    assert got[3] is None and got[1] == []
+    for i in (0, 2):
+        for token, v in zip(docs[i], got[i]):
+            h = [x * 0.5 * (1 + math.erf(x / math.sqrt(2))) for x in w0 @ np.array(token) + b0]
+            want = w1 @ np.array(h) + b1
+            assert v == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-5)
+    for wrong in (rows[1:], rows[:5], rows + [rows[0]], [*rows[:5], (1, 0, [1.0], 0.0)]):
+        with pytest.raises(ValueError):
+            heads.ProjectionHead(spark.createDataFrame(wrong, kind))
+    wide = spark.createDataFrame([([[1.0, 2.0]],)], "t array<array<float>>")
+    with pytest.raises(Exception, match="expected tokens of width 3"):
+        wide.select(head.forward(F.col("t"))).collect()
+    assert np.abs(heads.erf(np.linspace(-5, 5, 1001)) - [math.erf(x) for x in np.linspace(-5, 5, 1001)]).max() < 2e-7

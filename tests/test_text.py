@@ -241,6 +241,38 @@ def test_negatives_do_not_depend_on_the_plan(spark):
     assert first == C.hard_negatives(clean, 7, seed=3).where("ord = 0").orderBy("slot").first()["negative"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 97, 1000])
+def test_keyed_permutations(spark, n):
+    x = spark.range(n).select(F.col("id"), F.explode(F.array(*[F.lit(f"key{k}") for k in range(5)])).alias("k"))
+    rows = x.select("id", "k", H.permuted_col(F.col("id"), H.wide_key_col(F.col("k")), n).alias("v")).collect()
+    by = {k: [r["v"] for r in sorted(rows, key=lambda r: r["id"]) if r["k"] == k] for k in {r["k"] for r in rows}}
+    assert all(sorted(v) == list(range(n)) for v in by.values())
+    assert n < 10 or len({tuple(v) for v in by.values()}) == 5
+
+
+def test_slots_of_negatives_are_independent(spark):
+    n, anchors = 7, 6_000
+    x = spark.range(anchors).withColumn("key", H.wide_key_col(F.concat(F.lit("k"), F.col("id").cast("string"))))
+    pairs = x.select(*[H.permuted_col(F.lit(j), F.col("key"), n).alias(f"s{j}") for j in range(2)]).groupBy("s0", "s1").count().collect()
+    # Every ordered pair of different places is as likely as any other.
+    assert len(pairs) == n * (n - 1)
+    expected = anchors / (n * (n - 1))
+    assert sum((r["count"] - expected) ** 2 / expected for r in pairs) < 80  # 41 degrees of freedom
+
+
+def test_a_source_that_fails_late_is_skipped(spark, tmp_path):
+    good = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "ord long, text string").repartition(4)
+    path = tmp_path / "late"
+    good.write.parquet(str(path))
+    last = sorted(path.glob("part-*"))[-1]
+    last.write_bytes(last.read_bytes()[:64])
+    late = lambda: spark.read.schema("ord long, text string").parquet(str(path))
+    rows, used, skipped = C.union_sources([("late", late), ("good", lambda: good), ("absent", lambda: spark.read.parquet(str(tmp_path / "none")))])
+    assert used == ["good"] and skipped == ["late", "absent"] and rows.count() == 400
+    with pytest.raises(ZeroDivisionError):
+        C.union_sources([("wrong", lambda: 1 // 0)])
+
+
 def test_held_out(spark):
     training = spark.createDataFrame([("TRỜI hôm  nay đẹp",), ("STRASSE lang",)], "text string")
     clean = C.first_spellings(strings(spark), "text", ["ord"])
