@@ -438,10 +438,41 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         upsert.start(spark, source, target, progress, ["pk"], "seq").awaitTermination()
     assert {r["pk"]: r["v"] for r in upsert.current(spark, target, ["pk"]).collect()} == {"a": 2, "b": 7, "c": 5}
-    upsert.write_batch(spark.createDataFrame([("c", 6, 1)], row), 1, target, ["pk"], "seq")  # batch 1 run again
-    assert {r["pk"]: r["v"] for r in upsert.current(spark, target, ["pk"]).collect()} == {"a": 2, "b": 1, "c": 6}
-    upsert.compact(spark, target, str(tmp_path / "compact"), ["pk"])
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
+    table = upsert.KeyedTable(spark, target, ["pk"])
+    assert not table.merge(spark.createDataFrame([("c", 6, 1)], row), 1, "seq")  # batch 1 run again
+    assert {r["pk"]: r["v"] for r in upsert.current(spark, target, ["pk"]).collect()} == {"a": 2, "b": 7, "c": 5}
+
+
+def test_keyed_table_rewrites_only_what_a_batch_touches(spark, tmp_path, monkeypatch):
+    path, kind = str(tmp_path / "table"), "k long, seq long, v string"
+    table = upsert.KeyedTable(spark, path, ["k"], buckets=8)
+    with pytest.raises(ValueError, match="nothing"):
+        table.rows()
+    assert table.merge(spark.createDataFrame([(i, 0, f"a{i}") for i in range(200)], kind), 0, "seq")
+    before = dict(table.manifest["folders"])
+    assert len(before) == 8
+    assert table.merge(spark.createDataFrame([(7, 1, "x"), (7, 5, "y"), (7, 3, "z")], kind), 1, "seq")
+    assert sum(before[b] != f for b, f in table.manifest["folders"].items()) == 1
+    want = {i: f"a{i}" for i in range(200)} | {7: "y"}
+    read = lambda: {r["k"]: r["v"] for r in upsert.KeyedTable(spark, path, ["k"]).rows().collect()}
+    assert read() == want and table.rows().count() == 200
+
+    # A batch that dies before its commit is not seen, and runs again as if it had never been.
+    commit = upsert.KeyedTable._commit
+    monkeypatch.setattr(upsert.KeyedTable, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    late = spark.createDataFrame([(i, 0, f"b{i}") for i in range(150, 250)], kind)
+    with pytest.raises(OSError, match="lost"):
+        table.merge(late, 2, "seq")
+    assert read() == want
+    monkeypatch.setattr(upsert.KeyedTable, "_commit", commit)
+    again = upsert.KeyedTable(spark, path, ["k"])
+    assert again.merge(late, 2, "seq") and not again.merge(late, 2, "seq")
+    want |= {i: f"b{i}" for i in range(150, 250)}
+    assert read() == want
+    # Two writers of one version: the second one is told.
+    with pytest.raises(RuntimeError, match="another writer"):
+        again._commit({**again.manifest})
+    assert again.merge(late.where("false"), 3, "seq") and read() == want
 
 
 def test_contact_sheet(spark, tmp_path):
