@@ -66,7 +66,7 @@ def sample_of_each(rows: DataFrame, n: int, key: str, by: str) -> DataFrame:
     """
     sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
     share = F.xxhash64(key) / F.lit(2.0**64) + F.lit(0.5)
-    near = rows.join(sizes, F.col(by) == F.col("_by")).where(share * F.col("_size") < 2 * n)
+    near = rows.join(F.broadcast(sizes), F.col(by) == F.col("_by")).where(share * F.col("_size") < 2 * n)
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key), key))
     return near.withColumn("_place", place).where(F.col("_place") <= n).select(*rows.columns)
 

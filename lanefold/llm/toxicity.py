@@ -1,209 +1,245 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine.
 
-Labelled documents (``MAX_EXAMPLES`` at most, chosen by a hash of their id) serve as examples. A
-feature is a run of ``GRAMS`` characters of a lower-cased word between two spaces, so stems count as
-well as whole words; the vocabulary holds the ``MAX_FEATURES`` features that mark toxic examples most
-clearly. Term frequencies are counted over whole texts, document frequencies over all documents.
-
-Search uses an inverted index of the examples in blocks of ``BLOCK``: for each feature and block
-it holds the largest weight. The sum of those bounds the cosine of any example in the block, so
-blocks are visited from the highest bound down and only until no bound reaches the k-th best
-cosine found: the neighbours are exact. Ties go to the smaller example id. Votes are weighted by
-cosine; a text without any feature is at distance one from everything and takes the rate among
-the examples of its kind. Scores are then calibrated on the examples, each scored without
-itself, by monotone regression.
-
-Null and empty texts have no features and take that rate. Labels with null values or of unknown
-documents teach nothing; contradicting labels of one document count as toxic. With no toxic examples
-every score is 0. The evidence of a score is its neighbours' ids and cosines. Repeated rows
-are scored alike; other columns pass through ``score`` unless they bear a result's name.
+Labelled documents (``MAX_EXAMPLES`` at most, chosen by a hash of their id) serve as examples. The
+vocabulary is every lower-cased word of theirs, told apart by 64-bit hashes. A word weighs
+(1 + ln tf) * idf * rf^2: term frequencies are counted over whole texts, document frequencies over
+all documents, and the relevance frequency rf = log2(2 + rate among toxic examples / rate among
+others) lets words count for more that toxic examples have more often; squared, so that one of them
+shows in a long text. No word weighs nothing.
+
+Search uses an inverted index of the examples in blocks of ``BLOCK``: a word's postings are grouped
+by block, and each group bears its largest weight. A text reads the groups of its own words only; the
+sums of their weights bound the cosine of any example in a block, so the blocks of
+the highest bounds are visited first, and of the others only those whose bound reaches the k-th best
+cosine found: the neighbours are exact. Ties go to the smaller example id. Votes are weighted by cosine. Scores are then calibrated on
+the examples, each scored without itself, by monotone regression; examples weigh as their class
+occurs among the labels.
+
+A text without any word of the examples, as a null or empty one, is at distance one from everything
+and takes the rate of toxic labels. Labels with null values or of unknown documents teach
+nothing; contradicting labels of one document count as toxic, and of several texts under one id the
+least one is learnt. With no toxic examples every score is 0. The evidence of a score is its
+neighbours' ids and cosines. Repeated rows are scored alike; other columns pass through ``score``
+unless they bear a result's name.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanefold.llm.common import held_out, own_columns, releasing, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
-MAX_FEATURES = 600
-GRAMS = (4, 5, 6, 8)
-MIN_EXAMPLES = 4
-MIN_EVIDENCE = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 8
 THRESHOLD = 0.3
 SLICE_BYTES = 1 << 20
-MOST_COUNTED = 200_000
+PIECE_CHARS = 1 << 20
+MOST_KEPT = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-
-
-def spaced(text: str) -> str:
-    """The words of a text, lower-cased, with a space around each."""
-    return f" {'  '.join(_WORD.findall(text.lower()))} "
-
-
-def features_of_word(word: str) -> Iterator[str]:
-    padded = f" {word} "
-    yield padded
-    for n in GRAMS:
-        for i in range(len(padded) - n + 1):
-            yield padded[i : i + n]
+_NO_LETTER = re.compile(r"[\W\d_]")
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """The lower-cased words of a text, by stretches of bounded length that end between words."""
+    text, at = text.lower(), 0
+    while at < len(text):
+        stop = _NO_LETTER.search(text, at + PIECE_CHARS)
+        end = stop.start() if stop else len(text)
+        yield _WORD.findall(text, at, end)
+        at = end
+
+
+_hashes: dict[str, int] = {}
+
+
+def hash_of(words: list[str]) -> np.ndarray:
+    """Hashes of words; a worker keeps those of the last ones it met."""
+    if len(_hashes) > MOST_KEPT:
+        _hashes.clear()
+    for w in words:
+        if w not in _hashes:
+            _hashes[w] = xxhash.xxh3_64_intdigest(w.encode())
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, count) by texts: how often each text has each of its words."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    words: list[str] = []
+    rows: list[tuple[int, int]] = []
+
+    def flush() -> None:
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        names = hash_of(coded.dictionary.to_pylist())
+        row = np.repeat([r for r, _ in rows], [n for _, n in rows]).astype(np.int64)
+        key = np.sort(row * len(names) + coded.indices.to_numpy())
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        row, code = np.divmod(key[start], len(names))
+        found.append((row, names[code], np.diff(np.append(start, len(key)))))
+        words.clear()
+        rows.clear()
+
+    for i, text in enumerate(texts):
+        for some in words_of(text):
+            words += some
+            rows.append((i, len(some)))
+            if len(words) > PIECE_CHARS // 2:
+                flush()
+    if words:
+        flush()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    row, name, count = (np.concatenate([f[k] for f in found]) for k in range(3))
+    if len(found) > 1:  # a text may have been met more than once
+        order = np.lexsort((name, row))
+        row, name, count = row[order], name[order], count[order]
+        start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (name[1:] != name[:-1])))
+        row, name, count = row[start], name[start], np.add.reduceat(count, start)
+    return row, name, count
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start up to its end, in turn."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
 class Index(NamedTuple):
-    """Examples as weights by feature, and what bounds them by block."""
+    """Postings of the examples by word and block, and what bounds each group of them."""
 
     key: str
-    features: list[str]
-    idf: np.ndarray
+    words: np.ndarray  # hashes in order
+    weight: np.ndarray  # idf * rf of each word
     ids: np.ndarray
     toxic: np.ndarray
-    weights: np.ndarray  # (examples, features), unit rows
-    bounds: np.ndarray  # (blocks, features), the largest weight in each block
+    groups: np.ndarray  # of each word, where its groups start; one more at the end
+    block: np.ndarray  # of each group
+    most: np.ndarray  # the largest weight in each group
+    postings: np.ndarray  # of each group, where its postings start; one more at the end
+    example: np.ndarray  # of each posting
+    value: np.ndarray
     blank_rate: float
     steps: tuple[np.ndarray, np.ndarray]  # raw scores and what they are worth
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, toxic, text) of the labelled documents to learn from."""
-    marked = (
+def examples(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES) -> tuple[DataFrame, float]:
+    """(doc_id, toxic, text) of the labelled documents to learn from, and the share of toxic ones among all."""
+    known = own_columns(docs, doc_id="doc_id").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_known"))
+    marked = stored(
         own_columns(labels, doc_id="doc_id", toxic="toxic")
         .where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+        .join(known, F.col("doc_id") == F.col("_known"), "left_semi"),
+        "marked",
     )
+    share = marked.agg(F.avg("toxic")).first()[0] or 0.0
     # Toxic documents are the rarer ones: half of the examples, if there are as many.
     chosen = sample_of_each(marked, max_examples // 2, "doc_id", "toxic").select(F.col("doc_id").alias("_id"), "toxic")
     texts = own_columns(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return texts.dropDuplicates(["doc_id"]).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), share
 
 
-def vocabulary(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
-    """The features that tell toxic examples from others most clearly."""
+def termed(sample: DataFrame) -> DataFrame:
+    """(doc_id, toxic, words, counts) of examples: the hashes of their words, and how often each."""
+    kind = sample.schema["doc_id"].dataType.simpleString()
 
     @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed() -> pa.RecordBatch:
-            names = [*seen[0], *seen[1]]
-            n = pa.array([*seen[0].values(), *[0] * len(seen[1])], pa.int64())
-            p = pa.array([*[0] * len(seen[0]), *seen[1].values()], pa.int64())
-            seen[0].clear()
-            seen[1].clear()
-            return pa.record_batch([pa.array(names, pa.string()), p, n], ["feature", "p", "n"])
-
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                for text, toxic in zip(text_column(part).to_pylist(), part.column("toxic").to_pylist()):
-                    words = set(_WORD.findall(text.lower()))
-                    seen[toxic].update({f for word in words for f in features_of_word(word)})
-                    if len(seen[0]) + len(seen[1]) > MOST_COUNTED:  # the JVM adds up the parts
-                        yield flushed()
-        yield flushed()
-
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic, clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    counted = sample.mapInArrow(count, "feature string, p bigint, n bigint").groupBy("feature").agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n")
-    )
-    # The log-likelihood ratio of "toxic examples have it more often" against "all alike".
-    p, n, total = F.col("p"), F.col("n"), toxic + clean
-    term = lambda seen, size: F.when(seen > 0, seen * F.log(seen * total / ((p + n) * size))).otherwise(0.0)
-    rate, other = (p + 0.5) / toxic, (n + 0.5) / clean
-    counted = stored(counted.where(p >= MIN_EXAMPLES), "features")
-    # The more features are tried, the more of them look telling by chance.
-    enough = MIN_EVIDENCE + 2 * math.log(max(1, counted.count()))
-    best = (
-        counted.where(rate > 4 * other)
-        .select("feature", (2 * (term(p, toxic) + term(n, clean))).alias("evidence"))
-        .where(F.col("evidence") >= enough)
-        .orderBy(F.col("evidence").desc(), "feature")
-        .limit(max_features)
-    )
-    return sorted(r["feature"] for r in best.collect())
+                row, name, tf = hashes_of(text_column(part).to_pylist())
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (name.view(np.int64), tf.astype(np.int64))]
+                yield pa.record_batch([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "words", "counts"])
 
+    return sample.select("doc_id", "toxic", "text").mapInArrow(count, f"doc_id {kind}, toxic int, words array<bigint>, counts array<bigint>")
 
-def automaton(features: list[str]) -> ahocorasick.Automaton | None:
-    if not features:
-        return None
-    found = ahocorasick.Automaton()
-    for i, f in enumerate(features):
-        found.add_word(f, i)
-    found.make_automaton()
-    return found
 
-
-def features_of(found: ahocorasick.Automaton | None, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-    """Of each text, the features it has and how often each."""
-    at, tf = [], []
-    for text in texts:
-        hits = Counter(i for _, i in found.iter(spaced(text))) if found else {}
-        order = sorted(hits)
-        at.append(order)
-        tf.append([hits[i] for i in order])
-    return at, tf
-
-
-def counted(docs: DataFrame, features: list[str]) -> DataFrame:
-    """``docs`` without text, with _at and _tf: the features it has, and how often each."""
-    kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*kept, "text")
+def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each word occurs, and how many there are."""
+    model = docs.sparkSession.sparkContext.broadcast(words)
 
     @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(features)
+        known, total = np.zeros(len(model.value) + 1, dtype=np.int64), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                at, tf = features_of(found, text_column(part).to_pylist())
-                columns = [part.column(c) for c in kept]
-                yield pa.record_batch(
-                    [*columns, pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], [*kept, "_at", "_tf"]
-                )
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema.fields)
-    return rows.mapInArrow(count, f"{fields}_at array<int>, _tf array<int>")
-
-
-def weighted(at: list[list[int]], tf: list[list[int]], idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows, (1 + ln tf) * idf; a row without features is zero."""
-    out = np.zeros((len(at), len(idf)))
-    for i, (a, n) in enumerate(zip(at, tf)):
-        out[i, a] = (1 + np.log(n)) * idf[a]
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
-
-
-def nearest(index: Index, query: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(example rows, cosines) of the k examples nearest to a unit row, ties by id, zeros left out."""
-    terms = np.flatnonzero(query)
-    bound = index.bounds[:, terms] @ query[terms]
+                _, name, _ = hashes_of(text_column(part).to_pylist())
+                known += np.bincount(places(model.value, name), minlength=len(known))
+                total += part.num_rows
+        some = np.flatnonzero(known[:-1])
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(known[some], total))], ["word", "n"])
+
+    # A row per word of the examples and one for the number of documents.
+    rows = own_columns(docs, text="text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(len(words), dtype=np.int64)
+    out[word[word >= 0]] = n[word >= 0]
+    return out, int(n[word < 0].sum())
+
+
+def places(words: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where each hash is in the vocabulary; unknown ones come after its end."""
+    at = np.searchsorted(words, names)
+    known = at < len(words)
+    known[known] = words[at[known]] == names[known]
+    return np.where(known, at, len(words))
+
+
+def weighted(index: Index, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, weights) of one text at unit length, over the words it shares with the examples."""
+    at = places(index.words, names)
+    known = at < len(index.words)
+    at, tf = at[known], counts[known]
+    values = (1 + np.log(tf)) * index.weight[at]
+    norm = np.sqrt((values**2).sum())
+    return at, values / norm if len(at) else values
+
+
+def nearest(index: Index, words: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(examples, cosines) of the k examples nearest to a text, ties by id, zeros left out."""
+    first, last = index.groups[words], index.groups[words + 1]
+    group, factor = ranges(first, last), np.repeat(values, last - first)
+    block = index.block[group]
+    bound = np.bincount(block, factor * index.most[group], minlength=-(-len(index.ids) // BLOCK))
     order = np.argsort(-bound, kind="stable")
     rows, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-    for block in order.tolist():
-        if bound[block] + 1e-9 < least or bound[block] <= 0:
+    # The best blocks first; what they give settles which of the others can still matter.
+    for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+        some = some[(bound[some] > 0) & (bound[some] + 1e-9 >= least)]
+        if not len(some):
             break
-        here = np.arange(block * BLOCK, min(len(index.ids), (block + 1) * BLOCK))
-        c = np.round((index.weights[here][:, terms] * query[terms]).sum(axis=1), 12)
-        ok = (c > 0) & (c >= least)
+        visited = np.zeros(len(bound), dtype=bool)
+        visited[some] = True
+        if 2 * len(some) > len(bound):  # nearly all of them: postings by words are longer stretches
+            start, end, by = index.postings[first], index.postings[last], values
+        else:
+            here = visited[block]
+            start, end, by = index.postings[group[here]], index.postings[group[here] + 1], factor[here]
+        at = ranges(start, end)
+        found = np.bincount(index.example[at], np.repeat(by, end - start) * index.value[at], minlength=len(index.ids))
+        found *= np.repeat(visited, BLOCK)[: len(found)]
+        found = np.round(found, 12)
         if skip is not None:
-            ok &= here != skip
-        if not ok.any():
-            continue
-        rows, cosines = np.append(rows, here[ok]), np.append(cosines, c[ok])
+            found[skip] = 0
+        if len(found) > 4 * k:
+            least = max(least, float(np.partition(found, -k)[-k]))
+        more = np.flatnonzero((found > 0) & (found >= least))
+        rows, cosines = np.append(rows, more), np.append(cosines, found[more])
         best = np.lexsort((index.ids[rows], -cosines))[:k]
         rows, cosines = rows[best], cosines[best]
         if len(rows) == k:
@@ -219,12 +255,13 @@ def vote(index: Index, rows: np.ndarray, cosines: np.ndarray) -> float:
     return float(((cosines * index.toxic[rows]).sum() + prior) / (cosines.sum() + 0.5))
 
 
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Increasing step values of y over x, by pooling neighbours that decrease."""
+    weights = np.ones(len(x)) if weights is None else weights
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([a, b, 1.0])
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist()):
+        blocks.append([a, b, w])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             a2, b2, n2 = blocks.pop()
             a1, b1, n1 = blocks[-1]
@@ -232,40 +269,80 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
+def inverted(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, word: np.ndarray, tf: np.ndarray, words: np.ndarray, df: np.ndarray, total: int, blank_rate: float) -> Index:
+    """The index of examples given by (row, word, tf), in the order of rows."""
+    p, n = (np.bincount(word[toxic[row] == t], minlength=len(words)) for t in (1, 0))
+    toxics, others = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    rf = np.log2(2 + (p / toxics) / (np.maximum(n, 1) / others))
+    weight = (np.log((1 + total) / (1 + df)) + 1) * rf**2
+    value = (1 + np.log(tf)) * weight[word]
+    value /= np.sqrt(np.bincount(row, value**2, minlength=len(ids)))[row]
+    # Examples of one kind share blocks, which tightens the bounds: by their commonest word, then their heaviest.
+    heaviest, commonest = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+    for key, best in ((value, heaviest), (df[word], commonest)):
+        order = np.lexsort((key, row))
+        best[row[order]] = word[order]  # the last of each row stays
+    order = np.lexsort((ids, heaviest, commonest))
+    at = np.empty(len(ids), dtype=np.int64)
+    at[order] = np.arange(len(ids))
+    row = at[row]
+    by = np.lexsort((row, word))
+    row, word, value = row[by], word[by], value[by]
+    block = row // BLOCK
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))[: len(row)])
+    return Index(
+        uuid.uuid4().hex, words, weight, ids[order], toxic[order],
+        np.searchsorted(word[new], np.arange(len(words) + 1)), block[new],
+        np.maximum.reduceat(value, new) if len(new) else value, np.append(new, len(row)), row, value,
+        blank_rate, (np.zeros(0), np.zeros(0)),
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Index:
     """The index of the examples, with document frequencies over all of ``docs``."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
-    sample = stored(examples(docs, labels, learn), "examples")
-    features = vocabulary(sample)
-    frequencies = (
-        counted(own_columns(docs, text="text"), features)
-        .select(F.explode(F.concat("_at", F.array(F.lit(-1)))).alias("f"))
-        .groupBy("f")
-        .count()
-        .collect()  # a row per feature and one for the number of documents
-    )
-    df = {r["f"]: r["count"] for r in frequencies}
-    total = df.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(features))])
-    rows = counted(sample, features).toArrow().sort_by("doc_id")  # at most MAX_EXAMPLES
-    toxic = rows["toxic"].to_numpy().astype(np.float64)
-    ids = rows["doc_id"].to_numpy()
-    weights = weighted(rows["_at"].to_pylist(), rows["_tf"].to_pylist(), idf)
-    some = weights.any(axis=1) if len(weights) else np.zeros(0, dtype=bool)
-    # Examples are half toxic, the corpus is not: blank texts are rated as they occur.
-    share = labels.where(learn).agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
-    odds = share / max(1e-9, 1 - share) if toxic.any() and not toxic.all() else 1.0
-    p, n = toxic[~some].sum(), (1 - toxic[~some]).sum()
-    blank_rate = float(p * odds / max(1e-9, p * odds + n)) if p + n else 0.0
-    ids, toxic, weights = ids[some], toxic[some], weights[some]
-    # Examples of one kind share blocks, which tightens the bounds.
-    order = np.lexsort((ids, weights.argmax(axis=1))) if len(ids) else np.zeros(0, dtype=np.int64)
-    ids, toxic, weights = ids[order], toxic[order], weights[order]
-    starts = np.arange(0, len(ids), BLOCK)
-    bounds = np.maximum.reduceat(weights, starts, axis=0) if len(ids) else np.zeros((0, len(features)))
-    index = Index(uuid.uuid4().hex, features, idf, ids, toxic, weights, bounds, blank_rate, (np.zeros(0), np.zeros(0)))
-    raw = np.array([vote(index, *nearest(index, w, skip=i)) for i, w in enumerate(weights)])
-    return index._replace(steps=monotone(raw, toxic)) if len(raw) else index
+    sample, share = examples(docs, labels, learn)
+    sample = stored(termed(stored(sample, "examples")), "terms")
+    rows = sample.toArrow().sort_by("doc_id")  # at most MAX_EXAMPLES
+    lists = rows["words"].combine_chunks()
+    some = lists.value_lengths().to_numpy()
+    names = lists.flatten().to_numpy().view(np.uint64)
+    tf = rows["counts"].combine_chunks().flatten().to_numpy()
+    words = np.unique(names)
+    df, total = document_frequencies(docs, words)
+    has = some > 0
+    ids, toxic = rows["doc_id"].to_numpy()[has], rows["toxic"].to_numpy().astype(np.float64)[has]
+    row = np.repeat(np.arange(has.sum()), some[has])
+    # No example without words is in the index, so a blank text has no neighbours.
+    index = inverted(ids, toxic, row, np.searchsorted(words, names), tf, words, df, total, float(share))
+    if not len(ids):
+        return index
+    raw = _unseen(sample, index)
+    # Half of the examples may be toxic; the labels are not.
+    odds = share * (1 - toxic.mean()) / ((1 - share) * toxic.mean()) if 0 < toxic.mean() < 1 and share < 1 else 1.0
+    return index._replace(steps=monotone(raw, index.toxic, np.where(index.toxic > 0, odds, 1.0)))
+
+
+def _unseen(sample: DataFrame, index: Index) -> np.ndarray:
+    """The raw votes of the examples, each scored without itself."""
+    model = sample.sparkSession.sparkContext.broadcast(index)
+
+    @releasing
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = {d: i for i, d in enumerate(model.value.ids.tolist())}
+        for batch in batches:
+            rows, votes = [], []
+            for i, d in enumerate(batch.column("doc_id").to_pylist()):
+                if d in row_of:
+                    names, counts = (batch.column(c)[i].values.to_numpy() for c in ("words", "counts"))
+                    at, values = weighted(model.value, names.view(np.uint64), counts)
+                    rows.append(row_of[d])
+                    votes.append(vote(model.value, *nearest(model.value, at, values, skip=row_of[d])))
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(votes, pa.float64())], ["row", "raw"])
+
+    cores = sample.sparkSession.sparkContext.defaultParallelism
+    found = sample.repartition(max(2, cores)).mapInArrow(rate, "row bigint, raw double").toArrow().sort_by("row")
+    return found["raw"].to_numpy()
 
 
 def calibrated(index: Index, raw: float) -> float:
@@ -288,20 +365,21 @@ def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) ->
 
     @releasing
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(model.value.features)
         for batch in batches:
-            known: dict[tuple, tuple[float, list]] = {}
+            known: dict[bytes, tuple[float, list]] = {}
             for part in slices(batch, "text", SLICE_BYTES):
-                scores, evidence = [], []
-                for at, tf in zip(*features_of(found, text_column(part).to_pylist())):
-                    same = (tuple(at), tuple(tf))
-                    if same not in known:
-                        known[same] = _rated(model, at, tf)
-                    scores.append(known[same][0])
-                    evidence.append(known[same][1])
-                s = np.array(scores)
+                texts = text_column(part).to_pylist()
+                keys = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+                new = dict.fromkeys(k for k in keys if k not in known)
+                first = {k: t for k, t in zip(keys, texts) if k in new}
+                row, name, count = hashes_of([first[k] for k in new])
+                ends = np.searchsorted(row, np.arange(len(new) + 1))
+                for i, k in enumerate(new):
+                    known[k] = _rated(model.value, name[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]])
+                s = np.array([known[k][0] for k in keys])
                 near = pa.list_(pa.struct([("doc_id", part.schema.field("doc_id").type), ("cosine", pa.float64())]))
-                result = [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, near)]
+                evidence = pa.array([known[k][1] for k in keys], near)
+                result = [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), evidence]
                 yield pa.record_batch([*[part.column(c) for c in kept], *result], [*kept, *added])
 
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in kept)
@@ -310,11 +388,10 @@ def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) ->
     )
 
 
-def _rated(model: Broadcast, at: list[int], tf: list[int]) -> tuple[float, list]:
-    index: Index = model.value
-    if not at or not len(index.ids):
+def _rated(index: Index, names: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
+    rows, cosines = nearest(index, *weighted(index, names, counts)) if len(index.ids) else ([], [])
+    if not len(rows):
         return index.blank_rate, []
-    rows, cosines = nearest(index, weighted([at], [tf], index.idf)[0])
     near = [{"doc_id": d, "cosine": c} for d, c in zip(index.ids[rows].tolist(), cosines.tolist())]
     return calibrated(index, vote(index, rows, cosines)), near
 

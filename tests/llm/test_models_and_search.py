@@ -1,6 +1,9 @@
 """Language, toxicity and vector search against brute force and held-out rows."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,16 +112,46 @@ def labelled(spark):
 
 
 def test_neighbours_are_exact(labelled):
-    index = toxicity.fit(*labelled)
-    assert len(index.ids) > toxicity.BLOCK and len(index.bounds) == -(-len(index.ids) // toxicity.BLOCK)
-    for i in range(len(index.ids)):
-        query = index.weights[i]
-        terms = np.flatnonzero(query)
-        cosines = np.round((index.weights[:, terms] * query[terms]).sum(axis=1), 12)
-        best = [j for j in np.lexsort((index.ids, -cosines)) if cosines[j] > 0][: toxicity.NEIGHBOURS]
-        rows, found = toxicity.nearest(index, query)
-        assert rows.tolist() == best and found.tolist() == cosines[best].tolist()
-        assert i not in toxicity.nearest(index, query, skip=i)[0]
+    docs, labels = labelled
+    index = toxicity.fit(docs, labels)
+    texts = {r.doc_id: Counter(re.findall(r"[a-z]+", (r.text or "").lower())) for r in docs.collect()}
+    marks = {i: int(i % 4 == 0) for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sorted(index.ids.tolist()) == sorted(marks) and len(marks) > 2 * toxicity.BLOCK
+    df = Counter(w for t in texts.values() for w in t)
+    p, n = (Counter(w for i, m in marks.items() if m == c for w in texts[i]) for c in (1, 0))
+    size = Counter(marks.values())
+    weight = {
+        w: (math.log((1 + len(texts)) / (1 + df[w])) + 1) * math.log2(2 + (p[w] / size[1]) / (max(n[w], 1) / size[0])) ** 2
+        for w in p | n
+    }
+
+    def unit(text):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in text.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: unit(texts[i]) for i in marks}
+    for i in [*range(0, 400, 7), 402, 403]:
+        text = unit(texts[i])
+        cosines = {j: sum(x * v.get(w, 0.0) for w, x in text.items()) for j, v in vectors.items()}
+        _, names, counts = toxicity.hashes_of([" ".join(texts[i].elements())])
+        at, values = toxicity.weighted(index, names, counts)
+        rows, found = toxicity.nearest(index, at, values)
+        best = sorted((c for c in cosines.values() if c > 1e-11), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose(found, best, atol=1e-9) and np.allclose(found, [cosines[j] for j in index.ids[rows].tolist()], atol=1e-9)
+        order = list(zip((-found).tolist(), index.ids[rows].tolist()))
+        assert order == sorted(order)
+        if i in marks:
+            row = index.ids.tolist().index(i)
+            assert row not in toxicity.nearest(index, at, values, skip=row)[0]
+
+
+def test_words_of_long_texts(monkeypatch):
+    text = "One two, THREE " * 50 + "x" * 300 + " " + "Ärger 12drei"
+    whole = toxicity.hashes_of([text, "", "one"])
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 40)
+    assert all((a == b).all() for a, b in zip(*(map(lambda f: np.array(sorted(zip(*map(np.ndarray.tolist, f)))), (whole, toxicity.hashes_of([text, "", "one"]))))))
+    assert sum(whole[2]) == 150 + 1 + 2 + 1 and set(whole[0].tolist()) == {0, 2}
 
 
 def test_toxic_documents(spark, labelled):
@@ -130,6 +163,7 @@ def test_toxic_documents(spark, labelled):
     assert sum(got[i].predicted == (i % 4 == 0) for i in range(400)) >= 396
     assert [got[i].predicted for i in (400, 401, 402, 403)] == [0, 0, 1, 1]
     assert got[402].evidence and all(e.doc_id % 4 == 0 for e in got[402].evidence)
+    assert all(got[i].evidence for i in range(400)) and not got[401].evidence
     hidden = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), F.lit(1)).otherwise(F.col("toxic")))
     assert {(r.doc_id, r.score) for r in toxicity.judge(docs, hidden).collect()} == {(r.doc_id, r.score) for r in rows}
     none = toxicity.judge(docs, labels.withColumn("toxic", F.lit(0))).collect()
