@@ -173,3 +173,29 @@ def test_equal_ids_and_missing_ids(spark):
     assert [n for d, n in out if d is None] == [len(text)]
     assert [n for d, n in out if d == 2] == [0]
     assert substrings.deduplicated(df.where(F.lit(False))).count() == 0
+
+
+def test_short_worded_passages_go_whole(spark):
+    import random
+
+    r = random.Random(5)
+    short = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 5))) for _ in range(51 * 60)]
+    passages = [" ".join(short[51 * i : 51 * i + 51]) for i in range(60)]
+    frame = lambda seed, p: " ".join(words(40, seed)) + " " + p + " " + " ".join(words(40, seed + 500))
+    texts = [frame(1_000 + 2 * i, p) for i, p in enumerate(passages)] + [frame(3_001 + 2 * i, p) for i, p in enumerate(passages)]
+    out = {x.doc_id: x for x in substrings.deduplicated(documents(spark, texts)).collect()}
+    assert all(out[i].text == texts[i] for i in range(60))
+    for i, p in enumerate(passages):
+        left = texts[60 + i].replace(p, "")
+        kept = out[60 + i].text
+        assert set(left.split()) <= set(kept.split()) and len(kept.split()) <= len(left.split()) + 2
+        assert out[60 + i].kept_in == [i]
+
+
+def test_runs_grow_as_far_as_their_holder_agrees():
+    words_ = "one two three four five six seven".encode()
+    at = words_.index(b"four")
+    met = dict(start=at, end=at + 4, ids=[1], before=b"xx two three ", after=b" five six s")
+    assert substrings.grown([met], words_) == [(words_.index(b" two"), len(words_) - 4, {1})]
+    assert substrings.runs([met], words_, min_words=5) == [(words_.index(b"two"), words_.index(b" seven"), {1})]
+    assert substrings.runs([met], words_, min_words=6) == [] == substrings.runs([], b"")
