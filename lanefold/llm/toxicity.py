@@ -33,10 +33,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, releasing, sample_of_each, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, own_columns, releasing, resident, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
@@ -117,10 +118,24 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
+class Examples(NamedTuple):
+    """What the index is made from, small enough to be sent to every worker."""
+
+    key: str
+    words: np.ndarray  # hashes in order
+    df: np.ndarray
+    total: int
+    ids: np.ndarray
+    toxic: np.ndarray
+    sizes: np.ndarray  # words of each example
+    word: np.ndarray  # of the examples in turn, in the smallest type that holds them
+    tf: np.ndarray
+    blank_rate: float
+
+
 class Index(NamedTuple):
     """Postings of the examples by word and block, and what bounds each group of them."""
 
-    key: str
     words: np.ndarray  # hashes in order
     weight: np.ndarray  # idf * rf of each word
     ids: np.ndarray
@@ -132,7 +147,8 @@ class Index(NamedTuple):
     example: np.ndarray  # of each posting
     value: np.ndarray
     blank_rate: float
-    steps: tuple[np.ndarray, np.ndarray]  # raw scores and what they are worth
+    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))  # raw scores and what they are worth
+    made: Broadcast | None = None  # the examples, on the driver's side
 
 
 def examples(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES) -> tuple[DataFrame, float]:
@@ -269,12 +285,14 @@ def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) ->
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
-def inverted(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, word: np.ndarray, tf: np.ndarray, words: np.ndarray, df: np.ndarray, total: int, blank_rate: float) -> Index:
-    """The index of examples given by (row, word, tf), in the order of rows."""
+def inverted(of: Examples) -> Index:
+    """The index of some examples."""
+    words, df, ids, toxic, word, tf = of.words, of.df, of.ids, of.toxic, of.word.astype(np.int64), of.tf.astype(np.float64)
+    row = np.repeat(np.arange(len(ids)), of.sizes)
     p, n = (np.bincount(word[toxic[row] == t], minlength=len(words)) for t in (1, 0))
     toxics, others = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rf = np.log2(2 + (p / toxics) / (np.maximum(n, 1) / others))
-    weight = (np.log((1 + total) / (1 + df)) + 1) * rf**2
+    weight = (np.log((1 + of.total) / (1 + df)) + 1) * rf**2
     value = (1 + np.log(tf)) * weight[word]
     value /= np.sqrt(np.bincount(row, value**2, minlength=len(ids)))[row]
     # Examples of one kind share blocks, which tightens the bounds: by their commonest word, then their heaviest.
@@ -291,10 +309,10 @@ def inverted(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, word: np.ndarr
     block = row // BLOCK
     new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))[: len(row)])
     return Index(
-        uuid.uuid4().hex, words, weight, ids[order], toxic[order],
+        words, weight, ids[order], toxic[order],
         np.searchsorted(word[new], np.arange(len(words) + 1)), block[new],
         np.maximum.reduceat(value, new) if len(new) else value, np.append(new, len(row)), row, value,
-        blank_rate, (np.zeros(0), np.zeros(0)),
+        of.blank_rate,
     )
 
 
@@ -312,32 +330,40 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     df, total = document_frequencies(docs, words)
     has = some > 0
     ids, toxic = rows["doc_id"].to_numpy()[has], rows["toxic"].to_numpy().astype(np.float64)[has]
-    row = np.repeat(np.arange(has.sum()), some[has])
+    word = np.searchsorted(words, names)
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
     # No example without words is in the index, so a blank text has no neighbours.
-    index = inverted(ids, toxic, row, np.searchsorted(words, names), tf, words, df, total, float(share))
+    made = docs.sparkSession.sparkContext.broadcast(
+        Examples(uuid.uuid4().hex, words, small(df), total, ids, toxic, some[has], small(word), small(tf), float(share))
+    )
+    index = inverted(made.value)._replace(made=made)
     if not len(ids):
         return index
-    raw = _unseen(sample, index)
+    raw = _unseen(sample, made)
     # Half of the examples may be toxic; the labels are not.
     odds = share * (1 - toxic.mean()) / ((1 - share) * toxic.mean()) if 0 < toxic.mean() < 1 and share < 1 else 1.0
     return index._replace(steps=monotone(raw, index.toxic, np.where(index.toxic > 0, odds, 1.0)))
 
 
-def _unseen(sample: DataFrame, index: Index) -> np.ndarray:
-    """The raw votes of the examples, each scored without itself."""
-    model = sample.sparkSession.sparkContext.broadcast(index)
+def _index(made: Broadcast) -> Index:
+    """The index in a worker, which keeps it between tasks."""
+    return resident(made.value.key, lambda: inverted(made.value))
+
 
+def _unseen(sample: DataFrame, made: Broadcast) -> np.ndarray:
+    """The raw votes of the examples, each scored without itself."""
     @releasing
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row_of = {d: i for i, d in enumerate(model.value.ids.tolist())}
+        index = _index(made)
+        row_of = {d: i for i, d in enumerate(index.ids.tolist())}
         for batch in batches:
             rows, votes = [], []
             for i, d in enumerate(batch.column("doc_id").to_pylist()):
                 if d in row_of:
                     names, counts = (batch.column(c)[i].values.to_numpy() for c in ("words", "counts"))
-                    at, values = weighted(model.value, names.view(np.uint64), counts)
+                    at, values = weighted(index, names.view(np.uint64), counts)
                     rows.append(row_of[d])
-                    votes.append(vote(model.value, *nearest(model.value, at, values, skip=row_of[d])))
+                    votes.append(vote(index, *nearest(index, at, values, skip=row_of[d])))
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(votes, pa.float64())], ["row", "raw"])
 
     cores = sample.sparkSession.sparkContext.defaultParallelism
@@ -359,12 +385,13 @@ def score(docs: DataFrame, index: Index, with_text: bool = False) -> DataFrame:
 
 
 def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) -> DataFrame:
-    model = rows.sparkSession.sparkContext.broadcast(index)
+    made, steps = index.made, index.steps
     kept = [c for c in rows.columns if with_text or c != "text"]
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     @releasing
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(made)._replace(steps=steps)
         for batch in batches:
             known: dict[bytes, tuple[float, list]] = {}
             for part in slices(batch, "text", SLICE_BYTES):
@@ -375,7 +402,7 @@ def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) ->
                 row, name, count = hashes_of([first[k] for k in new])
                 ends = np.searchsorted(row, np.arange(len(new) + 1))
                 for i, k in enumerate(new):
-                    known[k] = _rated(model.value, name[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]])
+                    known[k] = _rated(index, name[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]])
                 s = np.array([known[k][0] for k in keys])
                 near = pa.list_(pa.struct([("doc_id", part.schema.field("doc_id").type), ("cosine", pa.float64())]))
                 evidence = pa.array([known[k][1] for k in keys], near)
