@@ -8,9 +8,10 @@ others) lets words count for more that toxic examples have more often; squared,
 shows in a long text. No word weighs nothing.
 
 Search uses an inverted index of the examples in blocks of ``BLOCK``: a word's postings are grouped
-by block, and each group bears its largest weight. A text reads the groups of its own words only; the
-sums of their weights bound the cosine of any example in a block, so the blocks of
-the highest bounds are visited first, and of the others only those whose bound reaches the k-th best
+by block, and each group bears its largest weight. The postings of the ``COMMON`` commonest words are
+written out as rows, which many texts meet in one product; of the others a text reads the groups of its own words
+only. A block's largest sum over common words and the weights of its groups bound the cosine of any
+example in it, so the blocks of the highest bounds are visited first, and of the others only those whose bound reaches the k-th best
 cosine found: the neighbours are exact. Ties go to the smaller example id. Votes are weighted by cosine. Scores are then calibrated on
 the examples, each scored without itself, by monotone regression; examples weigh as their class
 occurs among the labels.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +45,9 @@ MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 8
+COMMON = 256
+TEXTS_AT_ONCE = 64
+ROWS_AT_ONCE = 1024
 THRESHOLD = 0.3
 SLICE_BYTES = 1 << 20
 PIECE_CHARS = 1 << 20
@@ -62,53 +67,30 @@ def words_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
-_hashes: dict[str, int] = {}
+class _Hashes(dict):
+    """Hashes of the words a worker met."""
 
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return found
 
-def hash_of(words: list[str]) -> np.ndarray:
-    """Hashes of words; a worker keeps those of the last ones it met."""
-    if len(_hashes) > MOST_KEPT:
-        _hashes.clear()
-    for w in words:
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh3_64_intdigest(w.encode())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+_hashes = _Hashes()
 
 
 def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word hash, count) by texts: how often each text has each of its words."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    words: list[str] = []
-    rows: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        names = hash_of(coded.dictionary.to_pylist())
-        row = np.repeat([r for r, _ in rows], [n for _, n in rows]).astype(np.int64)
-        key = np.sort(row * len(names) + coded.indices.to_numpy())
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        row, code = np.divmod(key[start], len(names))
-        found.append((row, names[code], np.diff(np.append(start, len(key)))))
-        words.clear()
-        rows.clear()
-
-    for i, text in enumerate(texts):
+    names, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for text in texts:
+        seen: Counter[str] = Counter()
         for some in words_of(text):
-            words += some
-            rows.append((i, len(some)))
-            if len(words) > PIECE_CHARS // 2:
-                flush()
-    if words:
-        flush()
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    row, name, count = (np.concatenate([f[k] for f in found]) for k in range(3))
-    if len(found) > 1:  # a text may have been met more than once
-        order = np.lexsort((name, row))
-        row, name, count = row[order], name[order], count[order]
-        start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (name[1:] != name[:-1])))
-        row, name, count = row[start], name[start], np.add.reduceat(count, start)
-    return row, name, count
+            seen.update(some)
+        if len(_hashes) > MOST_KEPT:
+            _hashes.clear()
+        names.append(np.fromiter(map(_hashes.__getitem__, seen), np.uint64, len(seen)))
+        counts.append(np.fromiter(seen.values(), np.int64, len(seen)))
+    row = np.repeat(np.arange(len(texts)), [len(n) for n in names[1:]])
+    return row, np.concatenate(names), np.concatenate(counts)
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,6 +128,8 @@ class Index(NamedTuple):
     postings: np.ndarray  # of each group, where its postings start; one more at the end
     example: np.ndarray  # of each posting
     value: np.ndarray
+    common: np.ndarray  # the words of most postings, in order
+    rows: np.ndarray  # their postings written out, a row for each over all examples
     blank_rate: float
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))  # raw scores and what they are worth
     made: Broadcast | None = None  # the examples, on the driver's side
@@ -185,25 +169,40 @@ def termed(sample: DataFrame) -> DataFrame:
     return sample.select("doc_id", "toxic", "text").mapInArrow(count, f"doc_id {kind}, toxic int, words array<bigint>, counts array<bigint>")
 
 
-def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each word occurs, and how many there are."""
+def known_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, words, counts) of every document: places in the vocabulary, and how often each occurs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(words)
 
     @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = np.zeros(len(model.value) + 1, dtype=np.int64), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                _, name, _ = hashes_of(text_column(part).to_pylist())
-                known += np.bincount(places(model.value, name), minlength=len(known))
-                total += part.num_rows
-        some = np.flatnonzero(known[:-1])
+                row, name, tf = hashes_of(text_column(part).to_pylist())
+                at = places(model.value, name)
+                known = at < len(model.value)
+                ends = pa.array(np.searchsorted(row[known], np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[known].astype(np.int32))) for x in (at, tf)]
+                yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "words", "counts"])
+
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(count, f"doc_id {kind}, words array<int>, counts array<int>")
+
+
+def document_frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many documents each of ``size`` words occurs, and how many documents there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = np.zeros(size, dtype=np.int64), 0
+        for batch in batches:
+            known += np.bincount(batch.column("words").flatten().to_numpy(), minlength=size)
+            total += batch.num_rows
+        some = np.flatnonzero(known)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(known[some], total))], ["word", "n"])
 
     # A row per word of the examples and one for the number of documents.
-    rows = own_columns(docs, text="text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    rows = terms.select("words").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
-    out = np.zeros(len(words), dtype=np.int64)
+    out = np.zeros(size, dtype=np.int64)
     out[word[word >= 0]] = n[word >= 0]
     return out, int(n[word < 0].sum())
 
@@ -220,18 +219,42 @@ def weighted(index: Index, names: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     """(words, weights) of one text at unit length, over the words it shares with the examples."""
     at = places(index.words, names)
     known = at < len(index.words)
-    at, tf = at[known], counts[known]
+    return weighted_at(index, at[known], counts[known])
+
+
+def weighted_at(index: Index, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``weighted`` from places in the vocabulary."""
     values = (1 + np.log(tf)) * index.weight[at]
     norm = np.sqrt((values**2).sum())
     return at, values / norm if len(at) else values
 
 
-def nearest(index: Index, words: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(examples, cosines) of the k examples nearest to a text, ties by id, zeros left out."""
+def shared(index: Index, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What the commonest words add to the cosine of each text (words, weights) with each example."""
+    factors = np.zeros((len(texts), len(index.common)))
+    for i, (words, values) in enumerate(texts):
+        at = places(index.common, words)
+        known = at < len(index.common)
+        factors[i, at[known]] = values[known]
+    return factors @ index.rows
+
+
+def nearest(
+    index: Index, words: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None, base: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(examples, cosines) of the k examples nearest to a text, ties by id, zeros left out.
+
+    ``base`` is the text's row of ``shared``.
+    """
+    if base is None:
+        base = shared(index, [(words, values)])[0]
+    rare = places(index.common, words) == len(index.common)
+    words, values = words[rare], values[rare]
     first, last = index.groups[words], index.groups[words + 1]
     group, factor = ranges(first, last), np.repeat(values, last - first)
     block = index.block[group]
-    bound = np.bincount(block, factor * index.most[group], minlength=-(-len(index.ids) // BLOCK))
+    starts = np.arange(0, len(base), BLOCK)
+    bound = np.maximum.reduceat(base, starts) + np.bincount(block, factor * index.most[group], minlength=len(starts))
     order = np.argsort(-bound, kind="stable")
     rows, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     # The best blocks first; what they give settles which of the others can still matter.
@@ -248,14 +271,14 @@ def nearest(index: Index, words: np.ndarray, values: np.ndarray, k: int = NEIGHB
             start, end, by = index.postings[group[here]], index.postings[group[here] + 1], factor[here]
         at = ranges(start, end)
         found = np.bincount(index.example[at], np.repeat(by, end - start) * index.value[at], minlength=len(index.ids))
-        found *= np.repeat(visited, BLOCK)[: len(found)]
-        found = np.round(found, 12)
+        found = (found + base) * np.repeat(visited, BLOCK)[: len(found)]
         if skip is not None:
             found[skip] = 0
-        if len(found) > 4 * k:
-            least = max(least, float(np.partition(found, -k)[-k]))
-        more = np.flatnonzero((found > 0) & (found >= least))
-        rows, cosines = np.append(rows, more), np.append(cosines, found[more])
+        if not least and len(found) > 4 * k:
+            least = max(0.0, float(np.partition(found, -k)[-k]) - 1e-9)
+        at = np.flatnonzero((found > 0) & (found >= least - 1e-9))
+        found = np.round(found[at], 12)
+        rows, cosines = np.append(rows, at), np.append(cosines, found)
         best = np.lexsort((index.ids[rows], -cosines))[:k]
         rows, cosines = rows[best], cosines[best]
         if len(rows) == k:
@@ -263,6 +286,16 @@ def nearest(index: Index, words: np.ndarray, values: np.ndarray, k: int = NEIGHB
     return rows, cosines
 
 
+def all_nearest(
+    index: Index, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``nearest`` of each text, some at a time."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        some = texts[at : at + TEXTS_AT_ONCE]
+        for i, (text, base) in enumerate(zip(some, shared(index, some)), at):
+            yield nearest(index, *text, skip=skip[i] if skip else None, base=base)
+
+
 def vote(index: Index, rows: np.ndarray, cosines: np.ndarray) -> float:
     """The share of toxic neighbours, weighted by closeness; missing votes are those of a blank text."""
     if not len(rows):
@@ -305,19 +338,29 @@ def inverted(of: Examples) -> Index:
     at[order] = np.arange(len(ids))
     row = at[row]
     by = np.lexsort((row, word))
-    row, word, value = row[by], word[by], value[by]
+    row, word, value = row[by].astype(np.int32), word[by], value[by]
     block = row // BLOCK
     new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))[: len(row)])
+    ends = np.searchsorted(word, np.arange(len(words) + 1))
+    common = np.sort(np.argsort(-np.diff(ends), kind="stable")[:COMMON])
+    written = np.zeros((len(common), len(ids)))
+    for one, w in zip(written, common):
+        one[row[ends[w] : ends[w + 1]]] = value[ends[w] : ends[w + 1]]
     return Index(
         words, weight, ids[order], toxic[order],
         np.searchsorted(word[new], np.arange(len(words) + 1)), block[new],
         np.maximum.reduceat(value, new) if len(new) else value, np.append(new, len(row)), row, value,
-        of.blank_rate,
+        common, written, of.blank_rate,
     )
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Index:
     """The index of the examples, with document frequencies over all of ``docs``."""
+    return fitted(docs, labels, learn)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep: bool = False) -> tuple[Index, DataFrame]:
+    """``fit``, and the ``known_terms`` of all documents; written out, if they are to be read again."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     sample, share = examples(docs, labels, learn)
     sample = stored(termed(stored(sample, "examples")), "terms")
@@ -327,7 +370,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     names = lists.flatten().to_numpy().view(np.uint64)
     tf = rows["counts"].combine_chunks().flatten().to_numpy()
     words = np.unique(names)
-    df, total = document_frequencies(docs, words)
+    terms = known_terms(docs, words)
+    terms = stored(terms, "documents") if keep else terms
+    df, total = document_frequencies(terms, len(words))
     has = some > 0
     ids, toxic = rows["doc_id"].to_numpy()[has], rows["toxic"].to_numpy().astype(np.float64)[has]
     word = np.searchsorted(words, names)
@@ -338,11 +383,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     )
     index = inverted(made.value)._replace(made=made)
     if not len(ids):
-        return index
+        return index, terms
     raw = _unseen(sample, made)
     # Half of the examples may be toxic; the labels are not.
     odds = share * (1 - toxic.mean()) / ((1 - share) * toxic.mean()) if 0 < toxic.mean() < 1 and share < 1 else 1.0
-    return index._replace(steps=monotone(raw, index.toxic, np.where(index.toxic > 0, odds, 1.0)))
+    return index._replace(steps=monotone(raw, index.toxic, np.where(index.toxic > 0, odds, 1.0))), terms
 
 
 def _index(made: Broadcast) -> Index:
@@ -357,13 +402,13 @@ def _unseen(sample: DataFrame, made: Broadcast) -> np.ndarray:
         index = _index(made)
         row_of = {d: i for i, d in enumerate(index.ids.tolist())}
         for batch in batches:
-            rows, votes = [], []
+            rows, texts = [], []
             for i, d in enumerate(batch.column("doc_id").to_pylist()):
                 if d in row_of:
                     names, counts = (batch.column(c)[i].values.to_numpy() for c in ("words", "counts"))
-                    at, values = weighted(index, names.view(np.uint64), counts)
                     rows.append(row_of[d])
-                    votes.append(vote(index, *nearest(index, at, values, skip=row_of[d])))
+                    texts.append(weighted(index, names.view(np.uint64), counts))
+            votes = [vote(index, *found) for found in all_nearest(index, texts, rows)]
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(votes, pa.float64())], ["row", "raw"])
 
     cores = sample.sparkSession.sparkContext.defaultParallelism
@@ -401,8 +446,9 @@ def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) ->
                 first = {k: t for k, t in zip(keys, texts) if k in new}
                 row, name, count = hashes_of([first[k] for k in new])
                 ends = np.searchsorted(row, np.arange(len(new) + 1))
-                for i, k in enumerate(new):
-                    known[k] = _rated(index, name[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]])
+                terms = [weighted(index, name[a:b], count[a:b]) for a, b in zip(ends, ends[1:])] if len(index.ids) else []
+                found = all_nearest(index, terms) if terms else ((np.zeros(0, np.int64), np.zeros(0)) for _ in new)
+                known.update(zip(new, (_rated(index, *each) for each in found)))
                 s = np.array([known[k][0] for k in keys])
                 near = pa.list_(pa.struct([("doc_id", part.schema.field("doc_id").type), ("cosine", pa.float64())]))
                 evidence = pa.array([known[k][1] for k in keys], near)
@@ -415,16 +461,39 @@ def _scored(rows: DataFrame, index: Index, added: list[str], with_text: bool) ->
     )
 
 
-def _rated(index: Index, names: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-    rows, cosines = nearest(index, *weighted(index, names, counts)) if len(index.ids) else ([], [])
+def _rated(index: Index, rows: np.ndarray, cosines: np.ndarray) -> tuple[float, list]:
     if not len(rows):
         return index.blank_rate, []
     near = [{"doc_id": d, "cosine": c} for d, c in zip(index.ids[rows].tolist(), cosines.tolist())]
     return calibrated(index, vote(index, rows, cosines)), near
 
 
+def scored_terms(terms: DataFrame, index: Index) -> DataFrame:
+    """(doc_id, score, predicted, evidence) of documents by their ``known_terms``."""
+    made, steps = index.made, index.steps
+    kind = terms.schema["doc_id"].dataType.simpleString()
+
+    @releasing
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(made)._replace(steps=steps)
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+            words, counts = (batch.column(c).flatten().to_numpy() for c in ("words", "counts"))
+            ends = np.append(0, np.cumsum(batch.column("words").value_lengths().to_numpy()))
+            texts = [weighted_at(index, words[a:b], counts[a:b]) for a, b in zip(ends, ends[1:])]
+            found = all_nearest(index, texts) if len(index.ids) else ((np.zeros(0, np.int64), np.zeros(0)) for _ in texts)
+            scores, near = zip(*(_rated(index, *each) for each in found))
+            s = np.array(scores, dtype=np.float64)
+            kinds = pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("cosine", pa.float64())]))
+            columns = [batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(near, kinds)]
+            yield pa.record_batch(columns, ["doc_id", "score", "predicted", "evidence"])
+
+    return terms.mapInArrow(
+        rate, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double>>"
+    )
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) for every document."""
-    index = fit(docs, labels)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(rows, index).select("doc_id", "held_out", "score", "predicted", "evidence")
+    """(doc_id, held_out, score, predicted, evidence) for every document; texts are read for words once."""
+    index, terms = fitted(docs, labels, keep=True)
+    held = held_out(F.col("doc_id")).alias("held_out")
+    return scored_terms(terms, index).select("doc_id", held, "score", "predicted", "evidence")
