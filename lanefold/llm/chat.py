@@ -9,8 +9,8 @@ Column functions only. A dialogue is never gathered in one task: turns get their
 from a running total that splits hot dialogues over ranges, and the text is put together in
 shards of some ``SHARD_CHARS`` characters. All but very long dialogues are one shard.
 
-Turns go by number (nulls first), then speaker, then digest of the text; the same turn given
-twice counts once. A null role is the speaker ``unknown``; a null text is empty; a null
+Turns go by number (nulls first), then speaker, then digest of the text; a turn given several
+times is rendered as often, as a repeated row cannot be told from a repeated utterance. A null role is the speaker ``unknown``; a null text is empty; a null
 conv_id is a dialogue like any other. Names lose the characters that would end a header, texts
 that imitate a control mark get a space within it. A dialogue of system turns only has no
 participant and gives no row. Other columns are ignored.
@@ -25,6 +25,7 @@ from lanefold.llm.common import own_columns
 from lanefold.operators.sizing import running_total
 
 SHARD_CHARS = 1 << 20
+COPIES = 4096
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -38,31 +39,39 @@ def _header(view: Column, speaker: Column) -> Column:
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, speaker, digest, text): one row per turn, cleaned."""
+    """(conv_id, turn, speaker, digest, text, copies): one row per different turn, cleaned, and how often it occurs."""
     rows = own_columns(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     speaker = F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"[\r\n<>|]", "_")
     return (
         rows.select("conv_id", "turn", speaker.alias("speaker"), F.md5(text).alias("digest"), text.alias("text"))
         .groupBy("conv_id", "turn", "speaker", "digest")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("text").alias("text"), F.count("*").alias("copies"))
     )
 
 
+def each_copy(rows: DataFrame) -> DataFrame:
+    """A row with its ``copy`` number for each of ``copies``, counted out in two steps to keep lists short."""
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    first, left = F.col("_some") * COPIES, F.col("copies") - F.col("_some") * COPIES - 1
+    one = F.explode(F.sequence(first, first + F.least(left, F.lit(COPIES - 1))))
+    return rows.withColumn("_some", some).withColumn("copy", one).drop("_some", "copies")
+
+
 def rotate(conversations: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(conv_id, view, shard, text, n_turns, loss_spans, loss_chars) for every dialogue and participant.
 
     ``loss_spans`` are (start, end) in characters of ``text``, in order.
     """
     said = turns(conversations)
-    short = said.select("conv_id", "turn", "speaker", "digest", F.length("text").alias("size"))
+    short = said.select("conv_id", "turn", "speaker", "digest", "copies", F.length("text").alias("size"))
     views = (
         short.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("view")).distinct()
     )
-    seen = short.join(views, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    seen = each_copy(short.join(views, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv"))
     whole = F.length(_header(F.col("view"), F.col("speaker"))) + F.col("size") + len(END) + 1
     placed = running_total(
-        seen.withColumn("size", whole.cast("long")), ["conv_id", "view"], ["turn", "speaker", "digest"], "through", F.col("size")
+        seen.withColumn("size", whole.cast("long")), ["conv_id", "view"], ["turn", "speaker", "digest", "copy"], "through", F.col("size")
     ).select(
         F.col("conv_id").alias("_conv"),
         F.col("turn").alias("_turn"),
@@ -114,12 +123,12 @@ _HEAD = f"""CASE WHEN speaker = '{SYSTEM}' THEN '{START}{SYSTEM}' || chr(10) WHE
             ELSE '{START}user name=' || speaker || chr(10) END"""
 
 ROTATED_SQL = f"""
-WITH t AS (SELECT DISTINCT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\\r\\n<>|]', '_', 'g') AS speaker,
+WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\\r\\n<>|]', '_', 'g') AS speaker,
                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 v AS (SELECT DISTINCT conv_id, speaker AS view FROM t WHERE speaker <> '{SYSTEM}'),
 h AS (SELECT t.*, view, {_HEAD} AS head FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
 p AS (SELECT *, head || text || '{END}' || chr(10) AS part FROM h),
-s AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, view ORDER BY turn NULLS FIRST, speaker, md5(text)) - length(part) AS start FROM p),
+s AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, view ORDER BY turn NULLS FIRST, speaker, md5(text) ROWS UNBOUNDED PRECEDING) - length(part) AS start FROM p),
 g AS (SELECT *, (start // {SHARD_CHARS})::BIGINT AS shard FROM s),
 f AS (SELECT *, min(start) OVER (PARTITION BY conv_id, view, shard) AS first FROM g)
 SELECT conv_id, view, shard, string_agg(part, '' ORDER BY start) AS text, count(*)::BIGINT AS n_turns,

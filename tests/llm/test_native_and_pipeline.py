@@ -95,6 +95,15 @@ def test_masks_cover_what_the_assistant_says(dialogue):
         assert r.loss_chars == sum(map(len, said)) and r.text.count("<|im_start|>") == r.n_turns
 
 
+def test_repeated_turns_are_all_rendered(spark, monkeypatch):
+    monkeypatch.setattr(chat, "COPIES", 3)
+    rows = [(1, None, "ann", "hi"), (1, None, "bob", "hi"), (1, None, "ann", "hi"), (1, None, "bob", "bye")] + [(2, 4, "ann", "hm")] * 8
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.view): r for r in chat.rotate(df).collect()}
+    assert {k: (r.n_turns, len(r.loss_spans)) for k, r in got.items()} == {(1, "ann"): (4, 2), (1, "bob"): (4, 2), (2, "ann"): (8, 8)}
+    assert plain(chat.rotated(df).collect()) == in_duckdb(chat.ROTATED_SQL, conversations=df)
+
+
 def test_long_dialogues_go_on_in_shards(spark):
     rows = [(9, i, ("ann", "bob")[i % 2], f"turn {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
