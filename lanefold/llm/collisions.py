@@ -4,8 +4,8 @@ Vectors are dealt into blocks of some ``BLOCK``, queries into chunks of some ``C
 block and chunk is one bounded task, so that a query set of any size meets rows of any number. Within
 a block each of ``PROJECTIONS`` random directions has its own sorted array. A query's window is
 centred on its own projection and widened by the factor ``GROWTH`` each round (virtual rehashing:
-no array is built again). A vector collides in a direction if its place in that array lies in the
-window; those with at least ``COLLISIONS`` of the directions are verified by their exact inner
+no array is built again). Its two ends move on from where they were, and only the entries they pass are
+counted, so that no entry is met twice. A vector collides in a direction once the window has come to it; those with at least ``COLLISIONS`` of the directions are verified by their exact inner
 product, until a ``VERIFIED`` share of the block has been. Inner products are turned
 into distances by one more coordinate that brings all vectors to the largest norm of the block.
 
@@ -16,7 +16,8 @@ neighbours need less. Whatever is returned is scored exactly.
 Null vectors, zero vectors and those with a null, infinite or NaN component take no part, nor do rows
 without id or with another number of components than most. Of rows with one id the least
 vector counts. Ties go to the smaller id. With fewer than k other vectors all are returned, as the
-windows grow until they hold them. No queries or no vectors give no rows. Other columns are ignored.
+windows grow until they hold them. An inner product beyond the range of doubles is infinite; one that
+adds up both infinities counts as the smallest. No queries or no vectors give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import own_columns, stored
+from lanefold.llm.common import own_columns, ranges, stored
 
 BLOCK, CHUNK = 4096, 512
 PROJECTIONS = 96
@@ -44,47 +45,57 @@ class SortedArrays:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         self.ids, self.vectors = ids, vectors
-        squares = (vectors**2).sum(axis=1)
+        # Squares of very large or small components would leave the range of doubles.
+        self.scale = float(np.abs(vectors).max())
+        scaled = vectors / self.scale
+        squares = (scaled**2).sum(axis=1)
         self.radius = float(np.sqrt(squares.max()))
         self.directions = np.random.default_rng(seed).standard_normal((projections, vectors.shape[1] + 1))
-        lifted = np.column_stack([vectors, np.sqrt(np.maximum(0, self.radius**2 - squares))])
+        lifted = np.column_stack([scaled, np.sqrt(np.maximum(0, self.radius**2 - squares))])
         projected = self.directions @ lifted.T
-        order = np.argsort(projected, axis=1)
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-        self.places = np.empty(order.shape, dtype=kind)
-        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=kind)[None, :].repeat(projections, 0), axis=1)
+        self.order = np.argsort(projected, axis=1)
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        self.touched = 0  # entries counted so far
 
     def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Where each query's window begins in each array, and how many places it holds."""
-        kind = self.places.dtype
+        """Where each query's window begins and ends in each array."""
         lo = np.array([row.searchsorted(c - half) for row, c in zip(self.sorted, centres)])
         hi = np.array([row.searchsorted(c + half, side="right") for row, c in zip(self.sorted, centres)])
-        return lo.astype(kind), (hi - lo).astype(kind)
+        return lo, hi
 
     def search(
         self, query_ids: np.ndarray, queries: np.ndarray, k: int, verified: float = VERIFIED
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, inner products) of the best k that collide often enough, the query's own id left out."""
-        sizes = np.sqrt((queries**2).sum(axis=1))
-        centres = self.directions[:, :-1] @ (queries * (self.radius / sizes)[:, None]).T
-        wanted = min(len(self.ids), int(np.ceil(k + 1 + verified * len(self.ids))))
+        scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+        sizes = np.sqrt((scaled**2).sum(axis=1))
+        centres = self.directions[:, :-1] @ (scaled * (self.radius / sizes)[:, None]).T
+        n = len(self.ids)
+        wanted = min(n, int(np.ceil(k + 1 + verified * n)))
         least, rounds = COLLISIONS * len(self.directions), []
+        entries, first = self.order.ravel(), np.arange(len(self.order)) * n
         for at, (query_id, query) in enumerate(zip(query_ids.tolist(), queries)):
-            found, r = np.zeros(0, dtype=np.int64), 0
+            count, found, r = np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
             while len(found) < wanted:
                 if r == len(rounds):
                     rounds.append(self.windows(centres, START * GROWTH**r * self.radius))
-                lo, size = rounds[r][0][:, at, None], rounds[r][1][:, at, None]
-                # Unsigned: places before the window wrap round to numbers beyond it.
-                inside = (self.places - lo) < size
-                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= least)
+                lo, hi = (x[:, at] for x in rounds[r])
+                before = tuple(x[:, at] for x in rounds[r - 1]) if r else (lo, lo)
+                # What the ends have passed since the last round, on the left and on the right.
+                starts, ends = np.concatenate([first + lo, first + before[1]]), np.concatenate([first + before[0], first + hi])
+                passed = entries[ranges(starts, ends)]
+                self.touched += len(passed)
+                count += np.bincount(passed, minlength=n)
+                found = np.flatnonzero(count >= least)
                 r += 1
             found = found[self.ids[found] != query_id]
-            near = self.vectors[found] @ query
-            if len(found) > k:
-                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
-            scores = (self.vectors[found] * query).sum(axis=1)  # the same for equal vectors, wherever they are
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = self.vectors[found] @ query
+                if len(found) > k and np.isfinite(near).all():
+                    edge = np.partition(near, len(near) - k)[len(near) - k]
+                    found = found[near >= edge - 1e-9 * max(1.0, float(np.abs(near).max()))]
+                scores = (self.vectors[found] * query).sum(axis=1)  # the same for equal vectors, wherever they are
+            scores = np.where(np.isnan(scores), -np.inf, scores)
             best = np.lexsort((self.ids[found], -scores))[:k]
             yield query_id, self.ids[found][best], scores[best]
 

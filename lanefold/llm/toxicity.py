@@ -39,7 +39,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, releasing, resident, sample_of_each, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, own_columns, ranges, releasing, resident, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
@@ -93,13 +93,6 @@ def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.concatenate(names), np.concatenate(counts)
 
 
-def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All places from each start up to its end, in turn."""
-    sizes = ends - starts
-    before = np.cumsum(sizes) - sizes
-    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
-
-
 class Examples(NamedTuple):
     """What the index is made from, small enough to be sent to every worker."""
 

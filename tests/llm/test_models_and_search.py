@@ -225,6 +225,32 @@ def test_few_vectors_and_none(spark):
     assert collisions.nearest_vectors(df.where("vec_id = 0")).count() == 0
 
 
+def test_windows_meet_no_entry_twice():
+    vectors = np.random.default_rng(3).standard_normal((2_000, 16))
+    index = collisions.SortedArrays(np.arange(2_000), vectors)
+    found = list(index.search(np.arange(20), vectors[:20], 20))
+    assert index.touched < 0.75 * 20 * index.order.size  # of all entries for each query
+    hits = 0
+    for query_id, ids, _ in found:
+        scores = vectors @ vectors[query_id]
+        scores[query_id] = -np.inf
+        hits += len(set(ids.tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 20
+
+
+def test_very_large_and_small_components(spark):
+    sizes = [1e200, 1e-200, 1.0, 1e154, -1e200, 5e-324]
+    rows = [(20 * i, [x, x / 2]) for i, x in enumerate(sizes)] + [(1, [1e200, -1e200])]
+    got = {}
+    for r in collisions.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, v in rows[:-1]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = [(i, float((np.array(v) * np.array(w)).sum())) for i, w in rows if i != q]
+        scores = [(i, -math.inf if math.isnan(s) else s) for i, s in scores]
+        assert got[q] == sorted(scores, key=lambda x: (-x[1], x[0]))
+
+
 def test_recall_on_the_table(spark):
     data = table(spark, "/root/testdata/sf0.01", "embeddings")
     rows = [(r.vec_id, r.embedding) for r in data.collect()]
