@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO, NamedTuple
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from lanefold.operators.sizing import dense_ordinal
 from lanefold.schemas import KEYFRAME_META
 
 ROWS_PER_BATCH = 2048
+RANGE_BYTES = 32 << 20
 
 
 def _stem(path: str = "path"):
@@ -33,43 +36,96 @@ def files(spark: SparkSession, root: str, pattern: str, recursive: bool = False)
     )
 
 
-def read_matrices(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """(video_id, row, ndim, vec): the rows of every matrix, one file per task at a time."""
-    content = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.npy")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .select(_stem().alias("video_id"), "content")
-    )
-    schema = "video_id string, row long, ndim int, vec array<float>"
+class Header(NamedTuple):
+    """What the head of a ``.npy`` file says about its values."""
+
+    offset: int
+    dtype: np.dtype
+    by_column: bool
+    rows: int
+    width: int
+    ndim: int
+
+
+def read_header(file: BinaryIO) -> Header:
+    """The header of an open ``.npy`` file; a vector is a matrix of one row."""
+    version = np.lib.format.read_magic(file)
+    readers = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}
+    if version not in readers:
+        raise ValueError(f"unsupported .npy version {version}")
+    shape, by_column, dtype = readers[version](file)
+    if dtype.hasobject or len(shape) > 2:
+        raise ValueError(f"not a matrix of numbers: {dtype} of shape {shape}")
+    rows, width = ((1,) * (2 - len(shape)) + shape)[-2:]
+    return Header(file.tell(), dtype, by_column and len(shape) == 2, rows, width, len(shape))
+
+
+def read_rows(file: BinaryIO, header: Header, start: int, stop: int) -> np.ndarray:
+    """Rows ``start`` to ``stop``, read from their places in the file only."""
+
+    def values(place: int, n: int) -> np.ndarray:
+        file.seek(header.offset + place * header.dtype.itemsize)
+        raw = file.read(n * header.dtype.itemsize)
+        if len(raw) < n * header.dtype.itemsize:
+            raise ValueError("file ends before its last row")
+        return np.frombuffer(raw, header.dtype).astype(np.float32)
+
+    n = stop - start
+    if header.by_column:
+        columns = [values(c * header.rows + start, n) for c in range(header.width)]
+        return np.stack(columns, axis=1) if columns else np.zeros((n, 0), np.float32)
+    return values(start * header.width, n * header.width).reshape(n, header.width)
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file that can be read from any place, on the machine's own or a remote file system."""
+    if path.startswith(("file:", "/")):
+        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = pafs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@"))
+    return system.open_input_file(name)
+
+
+def read_matrices(spark: SparkSession, root: str, recursive: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(video_id, row, ndim, vec): the rows of every matrix.
+
+    Headers are read first. What a task then reads are ranges of rows of about ``range_bytes``, so a file of
+    any size is spread over many tasks and is in memory nowhere; a range is read by ``ROWS_PER_BATCH``.
+    """
+    listed = files(spark, root, "*.npy", recursive)
+    size = listed.agg(F.sum("length")).first()[0] or 0
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str, str, int, int]] = []
+            for name, path in zip(batch.column("video_id").to_pylist(), batch.column("path").to_pylist()):
+                with opened(path) as file:
+                    header = read_header(file)
+                step = max(1, range_bytes // max(1, header.width * header.dtype.itemsize))
+                found += [(name, path, at, min(at + step, header.rows)) for at in range(0, header.rows, step)]
+            columns = zip(*found) if found else ((),) * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["video_id", "path", "start", "stop"])
+
     arrow = pa.schema(
         [("video_id", pa.string()), ("row", pa.int64()), ("ndim", pa.int32()), ("vec", pa.list_(pa.float32()))]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column("video_id").to_pylist(), batch.column("content")):
-                matrix = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
-                ndim = matrix.ndim
-                matrix = np.atleast_2d(matrix).astype(np.float32, copy=False)
-                for at in range(0, len(matrix), ROWS_PER_BATCH):
-                    part = np.ascontiguousarray(matrix[at : at + ROWS_PER_BATCH])
-                    n, width = part.shape
-                    vectors = pa.ListArray.from_arrays(
-                        pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(part.ravel())
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * n),
-                            pa.array(np.arange(at, at + n)),
-                            pa.array(np.full(n, ndim, dtype=np.int32)),
-                            vectors,
-                        ],
-                        schema=arrow,
-                    )
-
-    return content.mapInArrow(run, schema)
+            for task in batch.to_pylist():
+                with opened(task["path"]) as file:
+                    header = read_header(file)
+                    for at in range(task["start"], task["stop"], ROWS_PER_BATCH):
+                        part = read_rows(file, header, at, min(at + ROWS_PER_BATCH, task["stop"]))
+                        n, width = part.shape
+                        vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+                        columns = [pa.array([task["video_id"]] * n), pa.array(np.arange(at, at + n)), pa.array(np.full(n, header.ndim, dtype=np.int32)), vectors]
+                        yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    tasks = listed.select(_stem().alias("video_id"), "path").mapInArrow(ranges, "video_id string, path string, start long, stop long")
+    # A set number of partitions: rows this small would else be put together in one task.
+    spread = tasks.repartition(max(1, -(-size // range_bytes)))
+    return spread.mapInArrow(read, "video_id string, row long, ndim int, vec array<float>")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:

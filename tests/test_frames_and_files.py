@@ -198,6 +198,40 @@ def test_missing_lane_file_and_length_mismatch(spark, index_root):
         cli.lanes_of("siglip2,other")
 
 
+def test_matrices_are_read_by_ranges_of_rows(spark, tmp_path):
+    r = np.random.default_rng(4)
+    given = {
+        "long": r.standard_normal((5_000, 7)),
+        "by column": np.asfortranarray(r.standard_normal((301, 5)).astype(np.float32)),
+        "big end": r.integers(0, 100, (40, 3)).astype(">i4"),
+        "half": r.standard_normal((3, 2)).astype(np.float16),
+        "vector": np.arange(9.0),
+        "none": np.zeros((0, 4)),
+        "é": np.ones((1, 1)),
+    }
+    for name, m in given.items():
+        np.save(tmp_path / f"{name}.npy", m)
+    found = vectors.read_matrices(spark, str(tmp_path), range_bytes=4_000)
+    tasks = found.withColumn("task", F.spark_partition_id()).where("video_id = 'long'").select("task").distinct().count()
+    assert tasks > 20  # one file, many tasks
+    rows = found.orderBy("video_id", "row").collect()
+    for name, m in given.items():
+        mine = [x for x in rows if x.video_id == name]
+        want = np.atleast_2d(m).astype(np.float32)
+        assert [x.row for x in mine] == list(range(len(want))) and all(x.ndim == m.ndim for x in mine)
+        assert not len(want) or (np.array([x.vec for x in mine], np.float32) == want).all()
+    (tmp_path / "short.npy").write_bytes((tmp_path / "long.npy").read_bytes()[:-8])
+    with pytest.raises(Exception, match="file ends before its last row"):
+        vectors.read_matrices(spark, str(tmp_path)).collect()
+
+
+def test_matrices_must_hold_numbers(tmp_path):
+    for name, m in (("objects", np.array([[1, "a"]], dtype=object)), ("cube", np.zeros((2, 2, 2)))):
+        np.save(tmp_path / f"{name}.npy", m, allow_pickle=True)
+        with vectors.opened(str(tmp_path / f"{name}.npy")) as file, pytest.raises(ValueError, match="not a matrix of numbers"):
+            vectors.read_header(file)
+
+
 def test_feature_store_layouts(spark, tmp_path):
     m = np.array([[3.0, 4.0], [0.0, 2.0], [1.0, 0.0]], dtype=np.float32)
     one, per_video, per_id = (str(tmp_path / n) for n in ("one", "video", "id"))
