@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 from typing import BinaryIO, NamedTuple
 from urllib.parse import quote
@@ -19,6 +20,7 @@ from lanefold.schemas import KEYFRAME_META
 
 ROWS_PER_BATCH = 2048
 RANGE_BYTES = 32 << 20
+RANGED = ("file", "hdfs", "s3", "s3a", "gs")
 
 
 def _stem(path: str = "path"):
@@ -85,14 +87,53 @@ def opened(path: str) -> pa.NativeFile:
     return system.open_input_file(name)
 
 
-def read_matrices(spark: SparkSession, root: str, recursive: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+_ROWS = "video_id string, row long, ndim int, vec array<float>"
+_ARROW_ROWS = pa.schema([("video_id", pa.string()), ("row", pa.int64()), ("ndim", pa.int32()), ("vec", pa.list_(pa.float32()))])
+
+
+def _batches(name: str, file: BinaryIO, start: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of an open file from ``start`` to ``stop``, ``ROWS_PER_BATCH`` at a time."""
+    header = read_header(file)
+    stop = header.rows if stop is None else stop
+    for at in range(start, stop, ROWS_PER_BATCH):
+        part = read_rows(file, header, at, min(at + ROWS_PER_BATCH, stop))
+        n, width = part.shape
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+        columns = [pa.array([name] * n), pa.array(np.arange(at, at + n)), pa.array(np.full(n, header.ndim, dtype=np.int32)), vectors]
+        yield pa.RecordBatch.from_arrays(columns, schema=_ARROW_ROWS)
+
+
+def _read_whole(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """``read_matrices`` with one file per task at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("video_id").to_pylist(), batch.column("content")):
+                yield from _batches(name, io.BytesIO(raw.as_py()))
+
+    content = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.npy")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .load(root)
+        .select(_stem().alias("video_id"), "content")
+    )
+    return content.mapInArrow(read, _ROWS)
+
+
+def read_matrices(
+    spark: SparkSession, root: str, recursive: bool = False, range_bytes: int = RANGE_BYTES, ranged: Sequence[str] = RANGED
+) -> DataFrame:
     """(video_id, row, ndim, vec): the rows of every matrix.
 
     Headers are read first. What a task then reads are ranges of rows of about ``range_bytes``, so a file of
     any size is spread over many tasks and is in memory nowhere; a range is read by ``ROWS_PER_BATCH``.
+    File systems that only Spark can open, those not ``ranged``, are read by whole files.
     """
     listed = files(spark, root, "*.npy", recursive)
-    size = listed.agg(F.sum("length")).first()[0] or 0
+    known = listed.agg(F.sum("length").alias("size"), F.min("path").alias("path")).first()
+    if known["path"] and not known["path"].startswith(tuple(f"{scheme}:" for scheme in ranged)):
+        return _read_whole(spark, root, recursive)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,26 +147,16 @@ def read_matrices(spark: SparkSession, root: str, recursive: bool = False, range
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["video_id", "path", "start", "stop"])
 
-    arrow = pa.schema(
-        [("video_id", pa.string()), ("row", pa.int64()), ("ndim", pa.int32()), ("vec", pa.list_(pa.float32()))]
-    )
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for task in batch.to_pylist():
                 with opened(task["path"]) as file:
-                    header = read_header(file)
-                    for at in range(task["start"], task["stop"], ROWS_PER_BATCH):
-                        part = read_rows(file, header, at, min(at + ROWS_PER_BATCH, task["stop"]))
-                        n, width = part.shape
-                        vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(part.ravel()))
-                        columns = [pa.array([task["video_id"]] * n), pa.array(np.arange(at, at + n)), pa.array(np.full(n, header.ndim, dtype=np.int32)), vectors]
-                        yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                    yield from _batches(task["video_id"], file, task["start"], task["stop"])
 
     tasks = listed.select(_stem().alias("video_id"), "path").mapInArrow(ranges, "video_id string, path string, start long, stop long")
     # A set number of partitions: rows this small would else be put together in one task.
-    spread = tasks.repartition(max(1, -(-size // range_bytes)))
-    return spread.mapInArrow(read, "video_id string, row long, ndim int, vec array<float>")
+    spread = tasks.repartition(max(1, -(-(known["size"] or 0) // range_bytes)))
+    return spread.mapInArrow(read, _ROWS)
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:

@@ -215,6 +215,7 @@ def test_matrices_are_read_by_ranges_of_rows(spark, tmp_path):
     tasks = found.withColumn("task", F.spark_partition_id()).where("video_id = 'long'").select("task").distinct().count()
     assert tasks > 20  # one file, many tasks
     rows = found.orderBy("video_id", "row").collect()
+    assert rows == vectors.read_matrices(spark, str(tmp_path), ranged=()).orderBy("video_id", "row").collect()
     for name, m in given.items():
         mine = [x for x in rows if x.video_id == name]
         want = np.atleast_2d(m).astype(np.float32)
