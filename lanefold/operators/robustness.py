@@ -51,8 +51,7 @@ def sparse_retriever(terms: Callable[[Column], Column]) -> Retriever:
     """Search by weighted terms of texts; exact, without encoding anything."""
 
     def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-        index = sparse.postings(sparse.frequencies(spread(docs), "did", terms(F.col("text"))))
-        return sparse.top_k(sparse.frequencies(spread(queries), "qid", terms(F.col("text"))), index, k)
+        return sparse.search(queries, docs, terms, k)
 
     return search
 

@@ -236,12 +236,8 @@ def _others(spark, sf):
     return table(spark, sf, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("did"), "text")
 
 
-def _grams(text):
-    return S.char_grams(text, GRAMS)
-
-
-def _folded_grams(text):
-    return S.char_grams(F.lower(strip_marks(text)), GRAMS)
+_grams = S.CharGrams(GRAMS)
+_folded_grams = S.CharGrams(GRAMS, lambda text: F.lower(strip_marks(text)))
 
 
 _FOLD_SQL = f"replace(replace(regexp_replace({nfd_sql('text')}, '\\p{{Mn}}', '', 'g'), 'đ', 'd'), 'Đ', 'D')"

@@ -379,3 +379,27 @@ def test_char_grams(spark):
     df = spark.createDataFrame([("abcd",), ("ab",), ("",), (None,), ("á🙂c",), ("x" * 30_000,)], "t string")
     rows = [r[0] for r in df.select(sparse.char_grams(F.col("t"), 3)).collect()]
     assert rows[:5] == [["abc", "bcd"], ["ab"], [], [], ["á🙂c"]] and len(rows[5]) == 29_998
+
+
+@pytest.mark.parametrize("k, sizes", [(1, {}), (3, {}), (200, {}), (3, {"max_asked": 5}), (3, {"max_vocabulary": 2})])
+@pytest.mark.parametrize("kind", ["words", "grams"])
+def test_search_of_whole_texts_equals_all_pairs(spark, kind, k, sizes, monkeypatch):
+    from lanefold.operators import sparse
+
+    for name in ("UNITS_AT_ONCE", "COUNTS_AT_ONCE"):
+        monkeypatch.setattr(sparse, name, 40)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdé🙂") for _ in range(r.choice([1, 2, 3, 3, 5]))) for _ in range(60)]
+    docs = {i: " ".join(r.choices(words, weights=[1 / (j + 1) for j in range(60)], k=r.choice([1, 4, 20, 60]))) for i in range(120)}
+    docs |= {500: "", 501: None, 502: "the same words", 503: "the same words", 504: "a", 505: "ab", 506: "a"}
+    asked = {i: docs[i] for i in range(0, 120, 7)} | {900: "nothing zzzz", 901: "", 902: "the same words and ab", 903: "a", 904: None}
+    terms, plain = {
+        "words": (sparse.space_words, lambda t: (t or "").split()),
+        "grams": (sparse.CharGrams(3), lambda t: [t[i : i + 3] for i in range(max(1, len(t) - 2))] if t else []),
+    }[kind]
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string")
+    if not sizes:  # no postings are joined, nothing but hits and counts is shuffled
+        monkeypatch.setattr(sparse, "postings", None)
+    hits = sparse.search(frame(asked, "qid"), frame(docs, "did"), terms, k, **sizes).collect()
+    got = {(h["qid"], h["rank"]): (h["did"], h["score"]) for h in hits}
+    assert len(got) == len(hits) and got == plain_sparse(docs, asked, plain, k)
