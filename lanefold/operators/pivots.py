@@ -6,8 +6,11 @@ A query first searches the partition of its own nearest pivot, which bounds its
 the second round it visits those partitions alone that may hold something as good: by their
 least and largest distance to their pivot, and by the plane half way between both pivots.
 
-What meets is one share of a partition and one block of its queries at a time, both bounded, so
-that neither a partition nor a query set of any size ends in one task. Equal vectors are searched
+What meets is one bundle of partitions, or one share of a large one, and one block of its queries at a
+time, both bounded, so that neither a partition nor a query set of any size ends in one task. A query is sent
+once to each bundle it visits, however many of its partitions those are, and with its k-th best score, so that only
+better documents come back: where nothing can be pruned, vectors are sent ``BUNDLES`` and ``BLOCKS`` times, not
+once per partition, as long as the bounds on a group allow. Equal vectors are searched
 once: of one vector's documents only the first k keys can be among the best, and equal queries
 have equal answers.
 """
@@ -20,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +33,11 @@ from lanefold.operators import search as S
 from lanefold.operators.sizing import written
 
 PIVOTS = 1_024
-QUERIES_PER_GROUP = 4_096
+QUERIES_PER_GROUP = 65_536
+BUNDLES = 16
+ROWS_PER_BUNDLE = 1_024  # at least, if there are fewer than BUNDLES
+BLOCKS = 8
+QUERIES_PER_BLOCK = 4_096  # at least, if there are fewer than BLOCKS
 GROUP_VALUES = S.CELL_VALUES
 COPY_SHARES = 64
 SLACK = 1e-9
@@ -173,32 +181,145 @@ def partitioned(docs: DataFrame, k: int, vec: str, key: str, carry: Sequence[str
     return placed, pivots
 
 
-def _probes(asked: DataFrame, pivots: Pivots, k: int, home_only: bool) -> DataFrame:
-    """(qid, qvec, _cell): where each query searches; the second round knows ``cut``, its k-th best score so far."""
+class Bundles:
+    """Consecutive partitions that are searched together; a large one is dealt over bundles of its own."""
+
+    def __init__(self, sizes: np.ndarray, most: int) -> None:
+        self.first = np.zeros(len(sizes), np.int64)
+        self.shares = np.maximum(1, -(-sizes // most))
+        self.spans: list[list[int]] = []  # of each bundle, its first cell and the one after its last
+        held = 0
+        for cell, n in enumerate(sizes.tolist()):
+            if not self.spans or held + n > most:
+                self.spans += [[cell, cell] for _ in range(self.shares[cell])]
+                held = 0
+            self.first[cell] = len(self.spans) - self.shares[cell]
+            for span in self.spans[self.first[cell] :]:
+                span[1] = cell + 1
+            held = held + n if self.shares[cell] == 1 else most
+
+
+def _home_probes(asked: DataFrame, pivots: Pivots) -> DataFrame:
+    """(qid, qvec, _cell): the partition of each query's nearest pivot."""
     shared = asked.sparkSession.sparkContext.broadcast(pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                q = S._vectors(batch.column("qvec"), at.matrix.shape[1] - 1)
-                far = at.of_queries(q)
-                home = np.where(at.n > 0, far, np.inf).argmin(axis=1)
-                if home_only:
-                    row, cell = np.arange(len(home)), home
-                else:
-                    cut = batch.column("cut").to_numpy(zero_copy_only=False).astype(np.float64)
-                    known = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", q, q) + at.largest - 2 * cut))
-                    within = np.fmin(known, at.reach(far, k))
-                    row, cell = np.nonzero(at.visited(far, home, within))
-                taken = batch.select(["qid", "qvec"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32))], ["qid", "qvec", "_cell"])
+        for batch in batches:
+            far = at.of_queries(S._vectors(batch.column("qvec"), at.matrix.shape[1] - 1))
+            home = np.where(at.n > 0, far, np.inf).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.select(["qid", "qvec"]).columns, pa.array(home.astype(np.int32))], ["qid", "qvec", "_cell"])
 
     kind = asked.schema["qvec"].dataType.simpleString()
     return asked.mapInArrow(work, f"qid bigint, qvec {kind}, _cell int")
 
 
+def _visits(asked: DataFrame, pivots: Pivots, bundles: Bundles, k: int) -> DataFrame:
+    """(qid, qvec, cut, _bundle, _visited): where else queries with a k-th best score so far search, a bit for each partition of the bundle."""
+    shared = asked.sparkSession.sparkContext.broadcast(pivots)
+    spans = bundles.spans
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for batch in (b.slice(start, 256) for b in batches for start in range(0, b.num_rows, 256)):
+            q = S._vectors(batch.column("qvec"), at.matrix.shape[1] - 1)
+            far = at.of_queries(q)
+            home = np.where(at.n > 0, far, np.inf).argmin(axis=1)
+            cut = batch.column("cut").to_numpy(zero_copy_only=False).astype(np.float64)
+            known = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", q, q) + at.largest - 2 * cut))
+            hit = at.visited(far, home, np.fmin(known, at.reach(far, k)))
+            rows, bundle, bits = [], [], []
+            for i, (lo, hi) in enumerate(spans):
+                row = np.flatnonzero(hit[:, lo:hi].any(axis=1))
+                rows.append(row)
+                bundle.append(np.full(len(row), i, np.int32))
+                bits += [x.tobytes() for x in np.packbits(hit[row, lo:hi], axis=1)]
+            taken = batch.select(["qid", "qvec", "cut"]).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(np.concatenate(bundle)), pa.array(bits, pa.binary())], ["qid", "qvec", "cut", "_bundle", "_visited"]
+            )
+
+    kind = asked.schema["qvec"].dataType.simpleString()
+    return asked.mapInArrow(work, f"qid bigint, qvec {kind}, cut double, _bundle int, _visited binary")
+
+
+class _Top:
+    """The best ``k`` documents per query, of those not worse than a known score."""
+
+    def __init__(self, k: int, cut: np.ndarray, rank: np.ndarray) -> None:
+        self.k, self.floor, self.rank = k, cut, rank
+        self.scores = np.full((len(cut), k), -np.inf)
+        self.docs = np.full((len(cut), k), -1)
+
+    def offer(self, queries: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of some documents (columns) for some queries (rows)."""
+        bar = self.floor[queries] - 2 * 10.0**-S.SCORE_DIGITS
+        width, free = scores.shape[1], np.flatnonzero(np.isneginf(bar))
+        if len(free) and width > self.k:
+            bar[free] = np.partition(scores[free], width - self.k, axis=1)[:, width - self.k] - 2 * 10.0**-S.SCORE_DIGITS
+        row, column = np.nonzero(scores >= bar[:, None])
+        if not len(row):
+            return
+        changed, at = np.unique(row, return_inverse=True)
+        some = queries[changed]
+        q = np.concatenate([np.repeat(np.arange(len(some)), self.k), at])
+        s = np.concatenate([self.scores[some].ravel(), np.round(scores[row, column], S.SCORE_DIGITS)])
+        d = np.concatenate([self.docs[some].ravel(), docs[column]])
+        order = np.lexsort((self.rank[d], -s, q))
+        q, s, d = q[order], s[order], d[order]
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(some)))[q]
+        kept = place < self.k
+        self.scores[some], self.docs[some] = s[kept].reshape(-1, self.k), d[kept].reshape(-1, self.k)
+        self.floor[some] = np.maximum(self.floor[some], self.scores[some, -1])
+
+
+def search_bundles(
+    rows: DataFrame, bundles: Bundles, probes: DataFrame, k: int, blocks: int, *, vec: str, key: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(qid, key, carried, score): per query and bundle the best ``k`` of the partitions that ``probes`` visit."""
+    schema = S._hit_schema(rows, key, carry)
+    arrow = S._arrow_schema(schema)
+    names = [key, *carry]
+    spans = bundles.spans
+    placed = list(enumerate(zip(bundles.first.tolist(), bundles.shares.tolist())))
+    dealt = rows.sparkSession.createDataFrame([(c, f, n) for c, (f, n) in placed], "_cell int, _first int, _shares int")
+    left = rows.select(*names, vec, "_cell").join(F.broadcast(dealt), "_cell").select(
+        *names, F.col(vec).alias("_vec"), "_cell", (F.col("_first") + F.pmod(F.xxhash64(key), "_shares")).cast("int").alias("_bundle"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    )
+    right = probes.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+
+    def run(group: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
+            return arrow.empty_table()
+        query = S.pack(asked.select(["qid", "qvec"]))
+        lo, hi = spans[group[0].as_py()]
+        bits = np.frombuffer(b"".join(asked["_visited"].to_pylist()), np.uint8).reshape(len(query), -1)
+        visited = np.unpackbits(bits, axis=1, count=hi - lo).astype(bool)
+        cut = asked["cut"].to_numpy().astype(np.float64)
+        docs = docs.sort_by([("_cell", "ascending")]).combine_chunks()
+        cell = docs["_cell"].to_numpy()
+        rank = np.empty(len(cell) + 1, np.int64)
+        rank[np.asarray(pc.sort_indices(docs[key])).astype(np.int64)] = np.arange(len(cell))
+        rank[-1] = len(cell)  # of no document
+        matrix = S._vectors(docs["_vec"].chunk(0), query.matrix.shape[1])
+        best = _Top(k, np.where(np.isnan(cut), -np.inf, cut), rank)
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(cell)]):
+            part = np.flatnonzero(visited[:, cell[a] - lo])
+            step = max(1, S.SCORE_CELLS // (b - a))
+            for at in range(0, len(part), step):
+                some = part[at : at + step]
+                best.offer(some, np.arange(a, b), query.matrix[some] @ matrix[a:b].T)
+        row, place = np.nonzero(best.docs >= 0)
+        found = docs.select(names).take(pa.array(best.docs[row, place]))
+        columns = {"qid": pa.array(query.ids[row]), "score": pa.array(best.scores[row, place])} | {n: found[n] for n in names}
+        return pa.table([columns[f.name] for f in arrow], schema=arrow)
+
+    by = ["_bundle", "_block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+
+
 def nearest_join(
     docs: DataFrame,
     queries: DataFrame,
@@ -228,12 +349,15 @@ def nearest_join(
     once = written(once, "queries")
     per_group = docs_per_group or max(1, GROUP_VALUES // pivots.matrix.shape[1])
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate(pivots.n.tolist())], "_cell int, n bigint")
-    near = partial(search_groups, rows, sizes, k=k, vec=vec, key=key, carry=carry, docs_per_group=per_group, queries_per_group=queries_per_group)
-    first = S._final_top(near(probes=written(_probes(once, pivots, k, True), "probes")), key, k).drop("rank")
-    first = written(first, "home_hits")
+    home = written(_home_probes(once, pivots), "probes")
+    first = search_groups(rows, sizes, home, k, vec=vec, key=key, carry=carry, docs_per_group=per_group, queries_per_group=queries_per_group)
+    first = written(S._final_top(first, key, k).drop("rank"), "home_hits")
     cuts = first.groupBy(F.col("qid").alias("_q")).agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("_found"))
     known = once.join(cuts.where(F.col("_found") == k), F.col("qid") == F.col("_q"), "left").select("qid", "qvec", "cut")
-    rest = near(probes=written(_probes(known, pivots, k, False), "probes"))
+    n, asked = int(pivots.n.sum()), once.count()
+    bundles = Bundles(pivots.n, min(per_group, max(ROWS_PER_BUNDLE, -(-n // BUNDLES))))
+    blocks = max(-(-asked // queries_per_group), min(BLOCKS, -(-asked // QUERIES_PER_BLOCK)), 1)
+    rest = search_bundles(rows, bundles, _visits(known, pivots, bundles, k), k, blocks, vec=vec, key=key, carry=carry)
     found = S._final_top(first.unionByName(rest), key, k)
     same = everyone.withColumnRenamed("qid", "_asked").join(once.withColumnRenamed("qid", "_for"), "qvec").select("_asked", "_for")
     return found.join(same, F.col("qid") == F.col("_for")).select(F.col("_asked").alias("qid"), *[c for c in found.columns if c != "qid"])

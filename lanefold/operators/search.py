@@ -290,10 +290,12 @@ def top_k(
         return _final_top(_scan(docs, query, k, key, carry, vec, scorer), key, k)
     queries_per_cell = min(max_broadcast_queries, CELL_VALUES * n_queries // values)
     if not tokens:
-        from lanefold.operators.pivots import nearest_join
+        from lanefold.operators.pivots import QUERIES_PER_GROUP, nearest_join
 
+        most = QUERIES_PER_GROUP * max_broadcast_queries // MAX_BROADCAST_QUERIES
+        queries_per_group = max(1, min(most, CELL_VALUES * n_queries // values))
         return nearest_join(
-            docs, queries, k, vec=vec, key=key, carry=carry, docs_per_group=docs_per_cell, queries_per_group=max(1, queries_per_cell)
+            docs, queries, k, vec=vec, key=key, carry=carry, docs_per_group=docs_per_cell, queries_per_group=queries_per_group
         )
     if docs_per_cell is None:
         n_docs, doc_values = _measured(docs.select(key, F.col(vec).alias("qvec")), tokens, dim)

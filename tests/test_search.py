@@ -245,6 +245,28 @@ def test_nearest_join_of_few_and_none(spark):
         pivots.nearest_join(docs, asked, 0)
 
 
+def test_bundles_hold_every_partition_once():
+    for sizes, most in (([3, 0, 4, 25, 1, 1, 9, 0], 10), ([0, 0], 5), ([30], 7), ([1] * 50, 16)):
+        found = pivots.Bundles(np.array(sizes), most)
+        assert len(found.spans) <= 2 * sum(sizes) // most + 2
+        for cell, n in enumerate(sizes):
+            mine = range(found.first[cell], found.first[cell] + found.shares[cell])
+            assert found.shares[cell] * most >= n and all(found.spans[b][0] <= cell < found.spans[b][1] for b in mine)
+
+
+def test_queries_are_sent_once_per_bundle(spark):
+    docs = np.random.default_rng(5).normal(size=(3_000, 12))
+    docs /= np.linalg.norm(docs, axis=1, keepdims=True)  # nothing can be pruned
+    placed, found = pivots.partitioned(table_of(spark, docs), 3, "vec", "pk", (), None)
+    bundles = pivots.Bundles(found.n, 1_024)
+    asked = asked_of(spark, docs[:200]).withColumn("cut", F.lit(0.5))
+    rows = pivots._visits(asked, found, bundles, 3)
+    partitions = sum(bin(int.from_bytes(r[0], "big")).count("1") for r in rows.select("_visited").collect())
+    assert rows.count() <= 200 * len(bundles.spans) <= 200 * 4 and partitions > 200 * 20
+    hits = pivots.nearest_join(table_of(spark, docs), asked_of(spark, docs[:200]), 3)
+    assert found_pairs(hits) == best_pairs(docs, docs[:200], 3)
+
+
 def test_partitions_are_pruned(spark):
     rng = np.random.default_rng(3)
     docs = rng.normal(size=(40, 8))[rng.integers(0, 40, 2_000)] * 6 + 0.05 * rng.normal(size=(2_000, 8))
