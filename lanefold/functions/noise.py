@@ -7,12 +7,15 @@ Texts are always processed whole.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,7 @@ LOOK_ALIKES = {
 PAIR_ALIKES = {"rn": "m", "cl": "d"}
 
 CHUNK_CHARS = 1 << 17
+PIECE_BYTES = 1 << 20
 
 VOWELS = "aeiouyAEIOUY"
 STROKE_D = {"đ": "d", "Đ": "D"}
@@ -110,19 +114,21 @@ class Flat:
         after: np.ndarray | None = None,
     ) -> Flat:
         """Some characters left out, and at most one put before and after each (0: none)."""
-        columns, live = [], []
-        if before is not None:
-            columns.append(before)
-            live.append(before != 0)
-        columns.append(self.code)
-        live.append(np.ones(len(self.code), dtype=bool) if keep is None else keep)
-        if after is not None:
-            columns.append(after)
-            live.append(after != 0)
-        alive = np.stack(live, axis=1)
-        through = np.concatenate([[0], np.cumsum(alive.sum(axis=1))])
+        n = len(self.code)
+        parts = [x for x in (before, self.code, after) if x is not None]
+        alive = [(np.ones(n, dtype=bool) if keep is None else keep) if x is self.code else x != 0 for x in parts]
+        size = alive[0].astype(np.int8)
+        for more in alive[1:]:
+            size += more
+        through = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         length = through[self.start + self.length] - through[self.start]
-        return Flat(np.stack(columns, axis=1)[alive].astype(np.uint32), length)
+        if len(parts) == 1:
+            return Flat(self.code[alive[0]], length)
+        code, at = np.empty(through[-1], dtype=np.uint32), through[:-1].copy()
+        for part, some in zip(parts, alive):
+            code[at[some]] = part[some]
+            at += some
+        return Flat(code, length)
 
 
 def _coins(flat: Flat, h: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
@@ -341,12 +347,29 @@ def noise(text: Column, mode: str, seed: int = 0, salt: Column | None = None) ->
     if mode == "drop_all":
         return strip_marks(text)
 
-    @F.arrow_udf(T.StringType())
-    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+    def noised(texts: pa.Array, keys: pa.Array) -> pa.Array:
         salted = [f"{seed}|{mode}|{k}" for k in keys.to_pylist()]
         return pa.array(_noised(texts.to_pylist(), mode, salted), pa.string())
 
-    return run(text, text if salt is None else salt)
+    if salt is not None:
+        return F.arrow_udf(T.StringType())(lambda texts, keys: _by_pieces(noised, texts, keys))(text, salt)
+    return F.arrow_udf(T.StringType())(lambda texts: _by_pieces(lambda t: noised(t, t), texts))(text)
+
+
+def _by_pieces(work: Callable[..., pa.Array], texts: pa.Array, *rest: pa.Array) -> pa.Array:
+    """``work`` on stretches of a batch of about ``PIECE_BYTES``, one row at least, so that Python holds few texts at a time.
+
+    What the allocators keep is handed back: workers live on, and the sum of their peaks would stay.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cut = np.cumsum(size, dtype=np.int64) // PIECE_BYTES
+    starts = [*np.flatnonzero(np.diff(cut, prepend=-1)).tolist(), len(texts)] if len(texts) else [0, 0]
+    out = pa.concat_arrays([work(*[x.slice(a, b - a) for x in (texts, *rest)]) for a, b in zip(starts, starts[1:])])
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
 
 
 def cycle(k: int | None = None) -> list[str]:
@@ -370,8 +393,7 @@ def variants(text: Column, k: int | None = None, seed: int = 0) -> Column:
         )
     )
 
-    @F.arrow_udf(schema)
-    def run(column: pa.Array) -> pa.Array:
+    def noised(column: pa.Array) -> pa.Array:
         texts = column.to_pylist()
         noisy = []
         for i, mode in enumerate(modes):
@@ -389,4 +411,4 @@ def variants(text: Column, k: int | None = None, seed: int = 0) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), flat)
 
-    return run(text)
+    return F.arrow_udf(schema)(lambda texts: _by_pieces(noised, texts))(text)

@@ -403,3 +403,20 @@ def test_search_of_whole_texts_equals_all_pairs(spark, kind, k, sizes, monkeypat
     hits = sparse.search(frame(asked, "qid"), frame(docs, "did"), terms, k, **sizes).collect()
     got = {(h["qid"], h["rank"]): (h["did"], h["score"]) for h in hits}
     assert len(got) == len(hits) and got == plain_sparse(docs, asked, plain, k)
+
+
+def test_noise_takes_a_batch_by_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from lanefold.functions import noise as N
+
+    monkeypatch.setattr(N, "PIECE_BYTES", 100)
+    texts = pa.array([None, "", "x" * 40, "é" * 90, None, *["word " * 5] * 30, "z" * 500], pa.string())
+    seen = []
+
+    def work(part):
+        seen.append(part.nbytes)
+        return part
+
+    assert N._by_pieces(work, texts).equals(texts) and N._by_pieces(work, texts[:0]).equals(texts[:0])
+    assert len(seen) > 8 and max(seen) < 800  # one long row, or some 100 bytes and its neighbours' places
