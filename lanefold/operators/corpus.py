@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -151,20 +151,24 @@ def contrastive_pairs(
     hard_negatives_per_anchor: int = 7,
     seed: int = 0,
     text: str = "text",
-    order: str = "ord"
+    order: str = "ord",
+    told_by: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
-    """(ord, variant, anchor_clean, positive_noisy, mode, hard_negs) from de-duplicated strings."""
+    """(ord, variant, anchor_clean, positive_noisy, mode, hard_negs) from de-duplicated strings.
+
+    ``told_by`` is what anchors and negatives are given as, such as a digest: it is taken once per string,
+    before strings meet as negatives and before each is repeated for its variants.
+    """
     N.cycle(k)
-    clean = written(clean.select(order, text), "anchors")
-    negs = negatives_array(
-        _negatives(clean, hard_negatives_per_anchor, seed, text, order), order
-    )
+    clean = written(clean.select(order, text, told_by(F.col(text)).alias("_told")), "anchors")
+    told = clean.select(order, F.col("_told").alias(text))
+    negs = negatives_array(_negatives(told, hard_negatives_per_anchor, seed, text, order), order)
     # Negatives are joined to the anchors, not to their many variants.
     anchors = spread(clean).join(negs, order, "left").withColumn(
         "hard_negs", F.coalesce("hard_negs", F.array().cast("array<string>"))
     )
     return anchors.select(
-        order, F.col(text).alias("anchor_clean"), "hard_negs", F.inline(N.variants(F.col(text), k, seed))
+        order, F.col("_told").alias("anchor_clean"), "hard_negs", F.inline(N.variants(F.col(text), k, seed))
     ).select(order, "variant", "anchor_clean", F.col("noisy").alias("positive_noisy"), "mode", "hard_negs")
 
 

@@ -185,14 +185,14 @@ def noise_variants(spark, sf):
 )
 def corpus_pairs(spark, sf):
     """The whole corpus build: de-duplicate, mine negatives, make every variant."""
-    pairs = C.contrastive_pairs(clean_documents(spark, sf), hard_negatives_per_anchor=3, seed=SEED, order="doc_id")
+    pairs = C.contrastive_pairs(clean_documents(spark, sf), hard_negatives_per_anchor=3, seed=SEED, order="doc_id", told_by=F.md5)
     return pairs.select(
         "doc_id",
         F.col("variant").cast("long").alias("variant"),
         "mode",
-        F.md5("anchor_clean").alias("anchor_md5"),
+        F.col("anchor_clean").alias("anchor_md5"),
         F.md5("positive_noisy").alias("noisy_md5"),
-        F.array_join(F.transform("hard_negs", lambda s: F.md5(s)), ",").alias("negatives_md5"),
+        F.array_join("hard_negs", ",").alias("negatives_md5"),
     )
 
 

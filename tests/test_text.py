@@ -420,3 +420,11 @@ def test_noise_takes_a_batch_by_pieces(monkeypatch):
 
     assert N._by_pieces(work, texts).equals(texts) and N._by_pieces(work, texts[:0]).equals(texts[:0])
     assert len(seen) > 8 and max(seen) < 800  # one long row, or some 100 bytes and its neighbours' places
+
+
+def test_pairs_by_digests_carry_no_texts(spark):
+    clean = spark.createDataFrame([(i, f"text number {i} " + "é" * i) for i in range(12)], "ord long, text string")
+    plain = C.contrastive_pairs(clean, k=2, hard_negatives_per_anchor=3)
+    told = C.contrastive_pairs(clean, k=2, hard_negatives_per_anchor=3, told_by=F.md5)
+    digests = plain.withColumn("anchor_clean", F.md5("anchor_clean")).withColumn("hard_negs", F.transform("hard_negs", lambda s: F.md5(s)))
+    assert sorted(told.collect()) == sorted(digests.collect()) and told.count() == 24
