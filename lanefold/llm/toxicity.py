@@ -39,7 +39,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, ranges, releasing, resident, sample_of_each, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, own_columns, ranges, released, releasing, resident, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
@@ -374,7 +374,11 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep
     made = docs.sparkSession.sparkContext.broadcast(
         Examples(uuid.uuid4().hex, words, small(df), total, ids, toxic, some[has], small(word), small(tf), float(share))
     )
+    # The index is built from what was sent; of what that was made from the driver holds nothing meanwhile.
+    del rows, lists, names, tf, word, some
+    released()
     index = inverted(made.value)._replace(made=made)
+    released()
     if not len(ids):
         return index, terms
     raw = _unseen(sample, made)
