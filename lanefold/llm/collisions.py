@@ -4,8 +4,9 @@ Vectors are dealt into blocks of some ``BLOCK``, queries into chunks of some ``C
 block and chunk is one bounded task, so that a query set of any size meets rows of any number. Within
 a block each of ``PROJECTIONS`` random directions has its own sorted array. A query's window is
 centred on its own projection and widened by the factor ``GROWTH`` each round (virtual rehashing:
-no array is built again). Its two ends move on from where they were, and only the entries they pass are
-counted, so that no entry is met twice. A vector collides in a direction once the window has come to it; those with at least ``COLLISIONS`` of the directions are verified by their exact inner
+no array is built again). What lies in the first window is counted by stretches of ``STRETCH`` entries, whose vectors are kept as bits, and
+entry by entry at its ends. The ends then move on from where they were, and only the entries they pass are
+counted, so that no entry is counted twice. A vector collides in a direction once the window has come to it; those with at least ``COLLISIONS`` of the directions are verified by their exact inner
 product, until a ``VERIFIED`` share of the block has been. Inner products are turned
 into distances by one more coordinate that brings all vectors to the largest norm of the block.
 
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import own_columns, ranges, stored
+from lanefold.llm.common import own_columns, stored
 
 BLOCK, CHUNK = 4096, 512
 PROJECTIONS = 96
 COLLISIONS = 0.6
 VERIFIED = 0.4
 START, GROWTH = 1.0, 1.08
+STRETCH = 64
 NEIGHBOURS = 20
 SEED = 11
 
@@ -55,7 +57,10 @@ class SortedArrays:
         projected = self.directions @ lifted.T
         self.order = np.argsort(projected, axis=1)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
-        self.touched = 0  # entries counted so far
+        # Which vectors come before every STRETCH-th place of each array, a bit for each vector.
+        places, ranks = STRETCH * np.arange(-(-len(ids) // STRETCH) + 1), np.argsort(self.order, axis=1)
+        self.marks = np.stack([np.packbits(row < places[:, None], axis=1) for row in ranks])
+        self.touched = 0  # entries counted so far, in whole stretches or one by one
 
     def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
         """Where each query's window begins and ends in each array."""
@@ -63,6 +68,16 @@ class SortedArrays:
         hi = np.array([row.searchsorted(c + half, side="right") for row, c in zip(self.sorted, centres)])
         return lo, hi
 
+    def stretches(self, lo: list[int], hi: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The whole stretches from ``lo`` to ``hi`` of each array: where they begin and end, and how often each vector is in them."""
+        left, right = -(-np.array(lo) // STRETCH), np.array(hi) // STRETCH
+        short = left > right
+        every = np.arange(len(self.order))
+        right = np.where(short, left, right)
+        bits = self.marks[every, left] ^ self.marks[every, right]
+        count = np.unpackbits(bits, axis=1, count=len(self.ids)).sum(axis=0, dtype=np.int64 if len(bits) > 255 else np.uint8)
+        return np.where(short, hi, left * STRETCH), np.where(short, hi, right * STRETCH), count
+
     def search(
         self, query_ids: np.ndarray, queries: np.ndarray, k: int, verified: float = VERIFIED
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -73,17 +88,22 @@ class SortedArrays:
         n = len(self.ids)
         wanted = min(n, int(np.ceil(k + 1 + verified * n)))
         least, rounds = COLLISIONS * len(self.directions), []
-        entries, first = self.order.ravel(), np.arange(len(self.order)) * n
         for at, (query_id, query) in enumerate(zip(query_ids.tolist(), queries)):
             count, found, r = np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
             while len(found) < wanted:
                 if r == len(rounds):
-                    rounds.append(self.windows(centres, START * GROWTH**r * self.radius))
-                lo, hi = (x[:, at] for x in rounds[r])
-                before = tuple(x[:, at] for x in rounds[r - 1]) if r else (lo, lo)
-                # What the ends have passed since the last round, on the left and on the right.
-                starts, ends = np.concatenate([first + lo, first + before[1]]), np.concatenate([first + before[0], first + hi])
-                passed = entries[ranges(starts, ends)]
+                    rounds.append([x.T.tolist() for x in self.windows(centres, START * GROWTH**r * self.radius)])
+                lo, hi = (x[at] for x in rounds[r])
+                # What the ends have passed since the last round, on the left and on the right; all of it in the first.
+                if r:
+                    before = rounds[r - 1]
+                    ends = zip(self.order, lo, before[0][at], before[1][at], hi)
+                else:
+                    left, right, whole = self.stretches(lo, hi)
+                    count += whole
+                    self.touched += int((right - left).sum())
+                    ends = zip(self.order, lo, left.tolist(), right.tolist(), hi)
+                passed = np.concatenate([x for row, a, b, c, d in ends for x in (row[a:b], row[c:d])])
                 self.touched += len(passed)
                 count += np.bincount(passed, minlength=n)
                 found = np.flatnonzero(count >= least)

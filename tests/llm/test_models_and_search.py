@@ -238,6 +238,26 @@ def test_windows_meet_no_entry_twice():
     assert hits >= 0.9 * 20 * 20
 
 
+def test_first_windows_are_counted_by_stretches(monkeypatch):
+    vectors = np.random.default_rng(4).standard_normal((2_000, 16))
+    index, met, bincount = collisions.SortedArrays(np.arange(2_000), vectors), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **options: (met.append(len(x)), bincount(x, **options))[1])
+    list(index.search(np.arange(20), vectors[:20], 20))
+    assert sum(met) < 0.3 * 20 * index.order.size  # one by one; most of the 0.6 in windows in whole stretches
+    r = np.random.default_rng(5)
+    ends = np.sort(r.integers(0, 2_001, (2, len(index.order))), axis=0)
+    ends[1, :30] = np.minimum(ends[0, :30] + r.integers(0, 70, 30), 2_000)
+    lo, hi = ends.tolist()
+    left, right, count = index.stretches(lo, hi)
+    count = count.astype(np.int64)
+    for row, a, b, c, d in zip(index.order, lo, left, right, hi):
+        assert a <= b <= c <= d and b - a <= 69 and d - c < 64
+        count[row[a:b]] += 1
+        count[row[c:d]] += 1
+    plain = sum(bincount(row[a:d], minlength=2_000) for row, a, d in zip(index.order, lo, hi))
+    assert (count == plain).all()
+
+
 def test_very_large_and_small_components(spark):
     sizes = [1e200, 1e-200, 1.0, 1e154, -1e200, 5e-324]
     rows = [(20 * i, [x, x / 2]) for i, x in enumerate(sizes)] + [(1, [1e200, -1e200])]
