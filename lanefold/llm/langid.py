@@ -32,12 +32,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, per_row, releasing, resident, sample_of_each, shielded, slices, text_column
+from lanefold.llm.common import forgetting, held_out, own_columns, per_row, releasing, resident, sample_of_each, shielded, slices, text_column
 
 ORDER = 3
 MAX_DOCS = 1500
 FULL_BYTES = 200
 SLICE_BYTES = 1 << 20
+STRETCH = 1 << 17
+CONTEXTS = 4096
 
 
 class Counts(NamedTuple):
@@ -78,23 +80,37 @@ class Tables:
                 np.add.at(seen, (code, g[:, -1]), n)
                 p = blend(seen, p[np.arange(s**order) % len(p)])
             bits[len(deep) :, :, j] = -np.log2(p)
-            seen = np.zeros((len(deep), s))
-            np.add.at(seen, (where[mine], g[:, -1]), n)
-            bits[: len(deep), :, j] = -np.log2(blend(seen, p[deep % shallow]))
+            order = np.argsort(where[mine], kind="stable")
+            row, byte, n = where[mine][order], g[order, -1], n[order]
+            for a in range(0, len(deep), CONTEXTS):
+                of = deep[a : a + CONTEXTS]
+                k, e = np.searchsorted(row, (a, a + len(of)))
+                seen = np.zeros((len(of), s))
+                np.add.at(seen, (row[k:e] - a, byte[k:e]), n[k:e])
+                bits[a : a + len(of), :, j] = -np.log2(blend(seen, p[of % shallow]))
         self.bits = bits.reshape(-1, bits.shape[-1])
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each text in each language; texts lie in ``data`` between ``offsets``."""
-        sym = self.symbol[data]
-        context = np.zeros(len(sym), dtype=np.int64)
-        for back in range(ORDER, 0, -1):
-            before = np.zeros(len(sym), dtype=np.int64)
-            before[back:] = sym[:-back]
-            for k in range(back):  # nothing is known before a text's start
-                at = offsets[:-1] + k
-                before[at[at < len(sym)]] = 0
-            context = context * self.s + before
-        return per_row(self.bits[self.row[context].astype(np.int64) * self.s + sym], offsets)
+        """Bits of each text in each language; texts lie in ``data`` between ``offsets``.
+
+        Of texts of any length a stretch at a time is held in numbers.
+        """
+        out = np.zeros((len(offsets) - 1, self.bits.shape[-1]))
+        for a in range(0, len(data), STRETCH):
+            b, low = min(a + STRETCH, len(data)), max(0, a - ORDER)
+            first, last = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b)
+            sym = self.symbol[data[low:b]]
+            context = np.zeros(len(sym), dtype=np.int64)
+            for back in range(ORDER, 0, -1):
+                before = np.zeros(len(sym), dtype=np.int64)
+                before[back:] = sym[:-back]
+                for k in range(back):  # nothing is known before a text's start
+                    at = offsets[first:last] + k - low
+                    before[at[(at >= 0) & (at < len(sym))]] = 0
+                context = context * self.s + before
+            own = (self.row[context].astype(np.int64) * self.s + sym)[a - low :]
+            out[first:last] += per_row(self.bits[own], np.clip(offsets[first : last + 1], a, b) - a)
+        return out
 
 
 def blend(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -120,7 +136,7 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS)
     )
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
-    @releasing
+    @forgetting
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import releasing, shielded, slices, stored, text_column
+from lanefold.llm.common import forgetting, shielded, slices, stored, text_column
 
 MIN_CHUNK, RATE, MAX_CHUNK = 12, 16, 256
 MIN_WORDS, MIN_BYTES = 49, 600
@@ -86,7 +86,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         "doc_id IS NOT NULL AND text <> ''"
     )
 
-    @releasing
+    @forgetting
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -156,7 +156,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
 
 
-@releasing
+@forgetting
 def _adjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of adjoining chunks."""
     for batch in batches:
@@ -178,7 +178,7 @@ def _adjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out[c], t) for c, t in zip(names, types)], names)
 
 
-@releasing
+@forgetting
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What stands next to each of a text's chunks that are asked for."""
     for batch in batches:
@@ -255,7 +255,7 @@ def _deduplicated(docs: DataFrame, added: list[str], min_words: int) -> DataFram
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ident")), "left")
     rows = rows.select(*kept, "_runs")
 
-    @releasing
+    @forgetting
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -39,7 +39,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanefold.llm.common import held_out, own_columns, ranges, released, releasing, resident, sample_of_each, shielded, slices, stored, text_column
+from lanefold.llm.common import held_out, keeping, own_columns, ranges, released, releasing, resident, sample_of_each, shielded, slices, stored, text_column
 
 MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
@@ -75,7 +75,7 @@ class _Hashes(dict):
         return found
 
 
-_hashes = _Hashes()
+_hashes = keeping(_Hashes())
 
 
 def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,12 +162,9 @@ def termed(sample: DataFrame) -> DataFrame:
     return sample.select("doc_id", "toxic", "text").mapInArrow(count, f"doc_id {kind}, toxic int, words array<bigint>, counts array<bigint>")
 
 
-def known_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, words, counts) of every document: places in the vocabulary, and how often each occurs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(words)
+def _knowing(model: Broadcast):
+    """A function of (doc_id, text) to (doc_id, words, counts): places in the vocabulary, and how often each occurs."""
 
-    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -178,11 +175,23 @@ def known_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x[known].astype(np.int32))) for x in (at, tf)]
                 yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "words", "counts"])
 
+    return count
+
+
+def known_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, words, counts) of every document: places in the vocabulary, and how often each occurs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    count = releasing(_knowing(docs.sparkSession.sparkContext.broadcast(words)))
     return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(count, f"doc_id {kind}, words array<int>, counts array<int>")
 
 
-def document_frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """In how many documents each of ``size`` words occurs, and how many documents there are."""
+def tallies(docs: DataFrame, words: np.ndarray, terms: DataFrame | None = None) -> DataFrame:
+    """(word, n): in how many documents of a task each place in the vocabulary occurs; at -1, how many documents there are.
+
+    From the ``terms`` of all documents, if they are written out. Else one function counts words and tallies them: two
+    in a row would take two workers a task, which live on beside all later steps.
+    """
+    size = len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = np.zeros(size, dtype=np.int64), 0
@@ -192,10 +201,19 @@ def document_frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(known)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(known[some], total))], ["word", "n"])
 
+    if terms is not None:
+        return terms.select("words").mapInArrow(count, "word bigint, n bigint")
+    known_in = _knowing(docs.sparkSession.sparkContext.broadcast(words))
+    both = releasing(lambda batches: count(known_in(batches)))
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(both, "word bigint, n bigint")
+
+
+def document_frequencies(docs: DataFrame, words: np.ndarray, terms: DataFrame | None = None) -> tuple[np.ndarray, int]:
+    """In how many documents each of the words occurs, and how many documents there are."""
     # A row per word of the examples and one for the number of documents.
-    rows = terms.select("words").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    rows = tallies(docs, words, terms).groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(len(words), dtype=np.int64)
     out[word[word >= 0]] = n[word >= 0]
     return out, int(n[word < 0].sum())
 
@@ -352,8 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     return fitted(docs, labels, learn)[0]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep: bool = False) -> tuple[Index, DataFrame]:
-    """``fit``, and the ``known_terms`` of all documents; written out, if they are to be read again."""
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep: bool = False) -> tuple[Index, DataFrame | None]:
+    """``fit``, and the ``known_terms`` of all documents written out, if they are to be read again."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     sample, share = examples(docs, labels, learn)
     sample = stored(termed(stored(sample, "examples")), "terms")
@@ -363,9 +381,8 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep
     names = lists.flatten().to_numpy().view(np.uint64)
     tf = rows["counts"].combine_chunks().flatten().to_numpy()
     words = np.unique(names)
-    terms = known_terms(docs, words)
-    terms = stored(terms, "documents") if keep else terms
-    df, total = document_frequencies(terms, len(words))
+    terms = stored(known_terms(docs, words), "documents") if keep else None
+    df, total = document_frequencies(docs, words, terms)
     has = some > 0
     ids, toxic = rows["doc_id"].to_numpy()[has], rows["toxic"].to_numpy().astype(np.float64)[has]
     word = np.searchsorted(words, names)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from helpers import DOCS, clashing, documents, words
 from pyspark.sql import functions as F
 
-from lanefold.llm import collisions, langid, toxicity
+from lanefold.llm import collisions, common, langid, substrings, toxicity
 from lanefold.llm.common import held_out, table
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -92,9 +93,50 @@ def test_languages_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
 
 
+def test_code_lengths_hold_a_stretch_of_a_long_text(spoken, monkeypatch):
+    counts = langid.fit(spoken)
+    tables = langid.Tables(counts)
+    rng = np.random.default_rng(5)
+    sizes = [0, 3, 0, 200, 1, 2, 61, 0, 33, 0]
+    offsets = np.append(0, np.cumsum(sizes))
+    data = rng.choice(np.frombuffer(b"abcdefgh z", np.uint8), offsets[-1])
+    each = np.concatenate([tables.lengths(data[a:b], np.array([0, b - a])) for a, b in zip(offsets, offsets[1:])])
+    for stretch in (1, 2, 3, 5, 64, 1000):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert np.allclose(tables.lengths(data, offsets), each, rtol=1e-12, atol=0)
+    monkeypatch.setattr(langid, "CONTEXTS", 7)
+    assert (langid.Tables(counts).bits == tables.bits).all()
+    monkeypatch.undo()
+    data = np.resize(data, 4 << 20)
+    tracemalloc.start()
+    tables.lengths(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+
+
+def test_steps_without_a_model_drop_those_of_earlier_steps():
+    common.resident("model", lambda: np.zeros(9))
+    toxicity.hashes_of(["some words"])
+    assert list(substrings._adjoined(iter([]))) == []
+    assert not common._resident and not toxicity._hashes
+
+
 # Toxicity
 
 
+def test_words_are_counted_and_tallied_by_one_worker_a_task(spark):
+    docs = documents(spark, ["a b b", "b c", "", None])
+    words = np.unique(toxicity.hashes_of(["a b x"])[1])
+    plan = toxicity.tallies(docs, words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    found, total = toxicity.document_frequencies(docs, words)
+    of = dict(zip(words.tolist(), found.tolist()))
+    assert [of[int(toxicity.hashes_of([w])[1][0])] for w in "abx"] == [1, 2, 0] and total == 4
+    again = toxicity.document_frequencies(docs, words, toxicity.known_terms(docs, words))
+    assert (again[0] == found).all() and again[1] == total
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     texts, marks = [], []
