@@ -148,12 +148,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     around = stored(around.dropDuplicates(["d"]), "around")  # equal rows of the holder say the same
     left = around.select(F.col("d").alias("_left"), "before")
     right = around.select(F.col("d").alias("_right"), "after")
-    return (
-        met.join(left, F.col("left") == F.col("_left"))
-        .join(right, F.col("right") == F.col("_right"))
-        .groupBy("doc_id", "ident")
-        .agg(F.collect_list(F.struct("start", "end", "ids", "before", "after")).alias("runs"))
-    )
+    both = met.join(left, F.col("left") == F.col("_left")).join(right, F.col("right") == F.col("_right"))
+    found = both.groupBy("doc_id", "ident").agg(F.collect_list(F.struct("start", "end", "ids", "before", "after")).alias("runs"))
+    # Written out, so that the disk doesn't hold what these joins shuffle and the texts at a time.
+    return stored(found, "passages")
 
 
 @forgetting

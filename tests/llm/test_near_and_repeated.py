@@ -192,6 +192,30 @@ def test_short_worded_passages_go_whole(spark):
         assert out[60 + i].kept_in == [i]
 
 
+def test_disk_holds_one_step_at_a_time(spark):
+    import os
+    import time
+
+    from lanefold.llm.common import CLEANUP, stored
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [d.getPath() for d in manager.localDirs()]
+    shuffled = lambda: {f for t in tops for _, _, names in os.walk(t) for f in names if f.startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    rows = stored(spark.range(1_000).groupBy((F.col("id") % 50).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(CLEANUP, None) == setting
+    assert rows.count() == 50 and {r["count"] for r in rows.collect()} == {20}
+
+    # The texts are shuffled beside the passages alone, and not beside what these are made from.
+    passage = " ".join(words(60, 9))
+    texts = [passage + " " + " ".join(words(120, s)) for s in range(3)]
+    plan = substrings.deduplicated(documents(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2 and plan.count("Join ") <= 1
+
+
 def test_runs_grow_as_far_as_their_holder_agrees():
     words_ = "one two three four five six seven".encode()
     at = words_.index(b"four")
